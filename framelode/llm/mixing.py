@@ -19,7 +19,8 @@ from .common import materialise
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-_DIGIT = 4096
+#: Sources up to which their tables (a row of under 100 bytes each) are broadcast; beyond it they are joined by sorting.
+FEW_SOURCES = 200_000
 _SPACE = r"\x20\x09-\x0D"
 
 
@@ -83,25 +84,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = materialise(_sizes(docs, id_col, text_col, source_col), "sizes")
     s = targets(sizes, weights, most).withColumn("sid", F.xxhash64(F.col("source"), F.col("source").isNull()))
     s = materialise(s, "targets")
-    t = sizes.join(s.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    few = s.count() <= FEW_SOURCES
+    small = F.broadcast if few else lambda df: df
+    t = sizes.join(small(s.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     u = (F.col("bits") + 0.5) / float(1 << 48)
     t = t.withColumn("odds", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
     # at equal p the order of the odds is that of the bits they are made from
     t = t.withColumn("d1", F.expr("CAST(shiftright(bits, 36) AS INT)")).withColumn("d2", F.expr("CAST(shiftright(bits, 24) & 4095 AS INT)")).withColumn("base", F.lit(0).cast("long"))
     b1 = _boundary(t.where("p > 0"), "d1")
-    t = t.join(b1, "sid", "left")
+    t = t.join(small(b1), "sid", "left")
     inside = t.where("p > 0 AND d1 = d1_at").withColumn("base", F.col("d1_base"))
     b2 = _boundary(inside, "d2")
-    t = t.join(b2, "sid", "left")
+    t = t.join(small(b2), "sid", "left")
     clear = t.where("NOT (p > 0 AND d1 <=> d1_at AND d2 <=> d2_at)").withColumn("extra", F.expr("p > 0 AND (d1_at IS NULL OR d1 < d1_at OR (d1 = d1_at AND (d2_at IS NULL OR d2 < d2_at)))"))
     order = Window.partitionBy("sid").orderBy("odds", "bits", "doc_id", "rid")
     near = t.where("p > 0 AND d1 <=> d1_at AND d2 <=> d2_at").withColumn("extra", 2 * (F.col("d2_base") + F.sum("size").over(order) - F.col("size")) + F.col("size") <= 2 * F.col("rest"))
     keep = ["doc_id", "source", "rid", "bits", "size", "source_size", "target", "whole", "p", "rest", "sid", "extra"]
     picked = materialise(clear.select(keep).union(near.select(keep)), "picked")
     gap = picked.groupBy("sid").agg((F.first("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
-    turn = picked.where("p > 0").join(gap, "sid").withColumn("left", F.abs(F.col("gap") - F.when(F.col("extra"), -F.col("size")).otherwise(F.col("size"))))
+    turn = picked.where("p > 0").join(small(gap), "sid").withColumn("left", F.abs(F.col("gap") - F.when(F.col("extra"), -F.col("size")).otherwise(F.col("size"))))
     turn = turn.where("left < abs(gap)").groupBy("sid").agg(F.min(F.struct("left", "bits", "doc_id", "rid")).alias("t")).select("sid", F.col("t.rid").alias("turned"))
-    out = picked.join(turn, "sid", "left").withColumn("extra", F.expr("CASE WHEN rid = turned THEN NOT extra ELSE extra END"))
+    out = picked.join(small(turn), "sid", "left").withColumn("extra", F.expr("CASE WHEN rid = turned THEN NOT extra ELSE extra END"))
     return out.select("doc_id", "source", "bits", "rid", "size", "source_size", "target", (F.col("whole") + F.col("extra").cast("long")).alias("copies"))
 
 
