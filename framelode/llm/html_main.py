@@ -3,8 +3,9 @@
 A page is a sequence of words and tags. Words score positive, tags negative, and one linear scan finds the contiguous
 region of the highest sum: long runs of words with few tags between them. The weights come from labelled pages, which
 are those whose author marked the content with ``<article>`` or ``<main>``: a token's weight is the log of its share
-inside the mark over its share outside. Inside the region, and when scoring it, the text of containers that are not
-content by their name, role or class (menus, adverts, forms, comments of readers and the like) counts as markup.
+inside the mark over its share outside. Containers that are not content by their name, role or class (menus, adverts,
+forms, comments of readers and the like) count as a little markup wherever they stand: an advert between two paragraphs
+does not part them, and its text is never in the result.
 """
 
 from __future__ import annotations
@@ -87,26 +88,31 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
 
 
 def fit(pages: list[str]) -> dict[str, float]:
-    """Weights from labelled pages: '' for a word, positive; tag names, negative; '*' for a tag never seen."""
+    """Weights from labelled pages: '' for a word, positive; tag names, negative; '*' and '#' for tags never seen,
+    inline and block."""
     inside, outside = Counter(), Counter()
     for page in pages:
-        for name, text, marked, _ in tokens(page):
+        for name, text, marked, away in tokens(page):
+            if away:
+                continue
             (inside if marked else outside)[name] += 1 if name else len(text.split())
     n, m = sum(inside.values()) + 1, sum(outside.values()) + 1
     odds = {k: math.log((inside[k] + 0.5) / n) - math.log((outside[k] + 0.5) / m) for k in {*inside, *outside}}
-    weights = {k: min(-0.05, max(-8.0, v)) for k, v in odds.items() if k}
-    return weights | {"": min(2.0, max(0.5, odds.get("", 0.5))), "*": -2.0}
+    weights = {k: min(-0.05, max(-4.0, v)) for k, v in odds.items() if k}
+    return weights | {"": min(2.0, max(0.5, odds.get("", 0.5))), "*": -0.5, "#": -1.0}
 
 
 def region(found: list[tuple[str, str, bool, bool]], weights: dict[str, float]) -> tuple[int, int]:
     """[start, stop) of the tokens with the highest sum; the first and shortest of equals; empty if none is positive."""
     best, at, total, start = 0.0, (0, 0), 0.0, 0
-    word, other = weights[""], weights["*"]
+    word = weights[""]
     for i, (name, text, _, away) in enumerate(found):
-        if name:
-            score = weights.get(name, other)
+        if away:
+            score = -0.05
+        elif name:
+            score = weights.get(name, weights["#" if name in BLOCKS else "*"])
         else:
-            score = len(text.split()) * (-word if away else word)
+            score = len(text.split()) * word
         if total <= 0:
             total, start = 0.0, i
         total += score
