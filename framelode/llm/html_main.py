@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Labelled pages that weights are fitted on: the first by hash, so that any input gives a bounded sample.
 SAMPLE = 500
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|select|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|select|title)\b(?:[^<>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
     re.DOTALL | re.IGNORECASE,
 )
 #: Elements that end a block, elements without an end, containers that are not content, and parts of
