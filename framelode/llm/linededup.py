@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import keyed, materialise
 
 MIN_WORDS = 5
-_PLACE = "struct<no_id:boolean,doc_id:bigint,h:bigint,line:int>"
-_P = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = "struct<doc_id:bigint,h:bigint,line:int>"
+#: Lines to look up in their documents up to which their places (under 100 bytes each) are broadcast.
+FEW_LINES = 200_000
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def normalise(line: str) -> list[str]:
@@ -68,72 +70,77 @@ def _lines(min_words: int):
                         nos.append(no)
                         digests.append(xxhash.xxh3_128_digest(" ".join(words).encode()))
                         keys.append(halves(words) if len(words) >= min_words else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(nos, pa.int32()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "line", "digest", "halves"])
+            d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(nos, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "line", "d1", "d2", "halves"])
 
     return run
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (digest, words, variant, spot): spot -1 is the line as it is, others the place of the word left out."""
+    """Rows (d1, d2, v1, v2, spot): spot -1 is the line as it is, others the place of the word left out."""
     for b in batches:
-        for digest, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            w = np.array([xxhash.xxh3_64_intdigest(x) for x in text.split(" ")], np.uint64)
+        d1, d2, v1, v2, spots = [], [], [], [], []
+        for x, y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            w = np.array([xxhash.xxh3_64_intdigest(t) for t in text.split(" ")], np.uint64)
             n = len(w)
             # polynomial hashes of all the words and of all but one, for two bases
-            both = []
-            for base in (_P, np.uint64(0xC2B2AE3D27D4EB4F)):
+            for base, out in ((_P, v1), (_Q, v2)):
                 power = np.cumprod(np.full(n, base))
                 ahead = np.concatenate([[np.uint64(0)], np.cumsum(w * power)])
                 # left out at i: words before i keep their powers, later ones take the power before theirs
                 shifted = np.concatenate([[np.uint64(0)], np.cumsum(w[1:] * power[:-1])])
-                both.append(np.concatenate([ahead[-1:], ahead[:-1] + (shifted[-1] - shifted)]))
-            key = np.stack(both, axis=1).astype(">u8").tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([digest] * (n + 1), pa.binary()), pa.array([key[16 * i : 16 * i + 16] for i in range(n + 1)], pa.binary()), pa.array(np.arange(-1, n), pa.int32())],
-                names=["digest", "variant", "spot"],
-            )
+                out.append(np.concatenate([ahead[-1:], ahead[:-1] + (shifted[-1] - shifted)]).view(np.int64))
+            d1.append(np.full(n + 1, x))
+            d2.append(np.full(n + 1, y))
+            spots.append(np.arange(-1, n, dtype=np.int32))
+        if d1:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (d1, d2, v1, v2, spots)], names=["d1", "d2", "v1", "v2", "spot"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = [within_one(x.split(" "), y.split(" ")) for x, y in zip(b.column("text").to_pylist(), b.column("its").to_pylist(), strict=True)]
-        yield b.filter(pa.array(ok, pa.bool_())).select(["digest", "witness"])
+        yield b.filter(pa.array(ok, pa.bool_())).select(["d1", "d2", "witness"])
 
 
-def _near(lines: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
-    """(digest, witness place): lines with an earlier line within one edit, and the earliest of those."""
-    keys = lines.where("halves IS NOT NULL").select("digest", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.min("digest").alias("a"), F.max("digest").alias("z")).where("a <> z").select("half")
-    alike = keys.join(shared, "half").select("digest").distinct()
-    chosen = materialise(lines.join(alike, "digest", "left_semi").select("digest", "first"), "alike")
+def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(d1, d2, witness place): lines with an earlier line within one edit, and the earliest of those."""
+    keys = lines.where("halves IS NOT NULL").select("d1", F.explode("halves").alias("half"))
+    shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    alike = keys.join(shared, "half").select("d1").distinct()
+    chosen = materialise(lines.join(alike, "d1", "left_semi").select("d1", "d2", "first"), "alike")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, out = [], []
+            d1, d2, out = [], [], []
             for t, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = t.split("\n")
                 for x in want:
-                    digests.append(x["digest"])
+                    d1.append(x["d1"])
+                    d2.append(x["d2"])
                     out.append(" ".join(normalise(own[x["line"]])))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(out, pa.string())], names=["digest", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(out, pa.string())], names=["d1", "d2", "text"])
 
-    where = chosen.groupBy("first.doc_id", "first.h").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest")).alias("want")).select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), "want")
-    found = docs.join(where, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh"))).select("text", "want").mapInArrow(texts, "digest binary, text string")
+    where = chosen.groupBy(F.col("first.doc_id").alias("k"), F.col("first.h").alias("kh")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "d1", "d2")).alias("want"))
+    if chosen.count() <= FEW_LINES:
+        where = F.broadcast(where)
+    found = docs.join(where, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh"))).select("text", "want").mapInArrow(texts, "d1 long, d2 long, text string")
     # rows that repeat id and text give a line more than once
-    alike = materialise(chosen.join(found, "digest").dropDuplicates(["digest"]), "alike-text")
-    v = alike.select("digest", "text").mapInArrow(_variants, "digest binary, variant binary, spot int").join(chosen, "digest")
-    v = materialise(v, "line-variants")
-    low = v.groupBy("variant", "spot").agg(F.min(F.struct("first", "digest")).alias("low"), F.count("*").alias("n"))
-    same = v.join(low.where("n > 1 AND spot >= 0"), ["variant", "spot"])
-    whole, less = low.where("spot = -1").select("variant", F.col("low").alias("w")), low.where("spot >= 0").groupBy("variant").agg(F.min("low").alias("l"))
-    meet = whole.join(less, "variant")
-    as_whole = v.where("spot = -1").join(meet.select("variant", F.col("l").alias("low")), "variant")
-    as_less = v.where("spot >= 0").join(meet.select("variant", F.col("w").alias("low")), "variant")
-    cols = ["digest", "first", "low"]
+    told = materialise(found.dropDuplicates(["d1", "d2"]), "alike-text")
+    every = told.mapInArrow(_variants, "d1 long, d2 long, v1 long, v2 long, spot int")
+    meeting = every.groupBy("v1").agg(F.count("*").alias("n")).where("n > 1").select("v1")
+    v = materialise(every.join(meeting, "v1").join(chosen, ["d1", "d2"]), "line-variants")
+    low = v.groupBy("v1", "v2", "spot").agg(F.min(F.struct("first", "d1", "d2")).alias("low"))
+    whole, less = low.where("spot = -1").select("v1", "v2", F.col("low").alias("w")), low.where("spot >= 0").groupBy("v1", "v2").agg(F.min("low").alias("l"))
+    meet = whole.join(less, ["v1", "v2"])
+    same = v.where("spot >= 0").join(low, ["v1", "v2", "spot"])
+    as_whole = v.where("spot = -1").join(meet.select("v1", "v2", F.col("l").alias("low")), ["v1", "v2"])
+    as_less = v.where("spot >= 0").join(meet.select("v1", "v2", F.col("w").alias("low")), ["v1", "v2"])
+    cols = ["d1", "d2", "first", "low"]
     pairs = same.select(cols).union(as_whole.select(cols)).union(as_less.select(cols)).where("low.first < first")
-    pairs = pairs.groupBy("digest").agg(F.min("low").alias("low")).select("digest", F.col("low.digest").alias("wd"), F.col("low.first").alias("witness"))
-    checked = pairs.join(alike.select("digest", "text"), "digest").join(alike.select(F.col("digest").alias("wd"), F.col("text").alias("its")), "wd")
-    return checked.select("digest", "text", "its", "witness").mapInArrow(_verified, f"digest binary, witness {_PLACE}")
+    pairs = pairs.groupBy("d1", "d2").agg(F.min("low").alias("low")).select("d1", "d2", F.col("low.d1").alias("w1"), F.col("low.d2").alias("w2"), F.col("low.first").alias("witness"))
+    checked = pairs.join(told, ["d1", "d2"]).join(told.select(F.col("d1").alias("w1"), F.col("d2").alias("w2"), F.col("text").alias("its")), ["w1", "w2"])
+    return checked.select("d1", "d2", "text", "its", "witness").mapInArrow(_verified, f"d1 long, d2 long, witness {_PLACE}")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -141,18 +148,19 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``line`` counts from 0; ``first_*`` is the earliest equal line, or for the earliest of equal lines (``near``) its
     earliest neighbour. ``h`` is xxhash64 of the text and tells rows of one id apart; rows that repeat both are one
-    document. Rows without an id rank after all others. Null and blank texts have no lines to remove.
+    document. Rows without an id rank before all others. Null and blank texts have no lines to remove.
     """
     docs = keyed(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    found = docs.select("doc_id", "h", "text").mapInArrow(_lines(min_words), "doc_id long, h long, line int, digest binary, halves array<bigint>")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "line")
-    lines = materialise(found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("halves").alias("halves")), "lines")
-    near = materialise(_near(lines, docs, min_words), "near")
-    marks = lines.where("first <> last").select("digest", "first").join(near, "digest", "full")
-    again = found.select("digest", place.alias("place")).join(marks, "digest")
-    again = again.where("NOT (place <=> first) OR (first IS NULL) OR witness IS NOT NULL")
-    to = F.when(F.col("first").isNotNull() & ~F.col("place").eqNullSafe(F.col("first")), F.col("first")).otherwise(F.col("witness"))
+    found = materialise(docs.select("doc_id", "h", "text").mapInArrow(_lines(min_words), "doc_id long, h long, line int, d1 long, d2 long, halves array<bigint>"), "all-lines")
+    place = F.struct("doc_id", "h", "line")
+    lines = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(F.xxhash64(place)).alias("x"), F.min(F.xxhash64(place)).alias("y"), F.first("halves").alias("halves"))
+    lines = materialise(lines.select("d1", "d2", "first", (F.col("x") != F.col("y")).alias("many"), "halves"), "lines")
+    near = materialise(_near(lines, docs), "near")
+    marks = lines.where("many").select("d1", "d2", "first").join(near, ["d1", "d2"], "full")
+    again = found.select("d1", "d2", place.alias("place")).join(marks, ["d1", "d2"])
+    again = again.where("first IS NULL OR witness IS NOT NULL OR NOT (place <=> first)")
     is_near = F.col("first").isNull() | F.col("place").eqNullSafe(F.col("first"))
+    to = F.when(is_near, F.col("witness")).otherwise(F.col("first"))
     return again.select("place.doc_id", "place.h", "place.line", to["doc_id"].alias("first_doc_id"), to["line"].alias("first_line"), is_near.alias("near"))
 
 
