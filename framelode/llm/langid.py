@@ -25,6 +25,8 @@ HIDDEN = 8
 STEPS = 220
 BATCH = 192
 FOLDS = 5
+#: Mean probability below which a document is taken to be in no language known.
+MIN_SCORE = 0.35
 _BLOCK = 2048
 _GATES = ("z", "r", "n")
 
@@ -239,9 +241,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(*sample(docs, id_col, text_col, lang_col))
 
 
-def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out boolean, lang_pred string, score double), a row for each row of ``docs``, and ``keep`` as a
-    struct ``row`` of columns passed through.
+def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, held_out boolean, lang_pred string, score double), a row for each row of ``docs``; if ``whole``, also
+    ``text`` and a struct ``row`` of all other columns, passed through.
 
     ``score`` is the mean probability of the language over the bytes of the whole text. A text that is null or has
     no letter is ``und`` with score 0; so is every text if nothing labelled was there to learn from. Repeated rows
@@ -258,9 +260,16 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
                 for i, probs in zip(known, net.documents([texts[i].encode() for i in known]), strict=True):
                     k = int(probs.argmax())
                     langs[i], scores[i] = net.langs[k], float(min(1.0, max(0.0, probs[k])))
-            out = {c: b.column(c) for c in b.schema.names if c != "text"} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
+            out = {c: b.column(c) for c in b.schema.names if whole or c != "text"} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col).cast("long")).alias("held_out"), *([F.struct(*keep).alias("row")] if keep else []), F.col(text_col).cast("string").alias("text"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema.fields if f.name != "text")
+    rest = [F.struct(F.lit(True).alias("_"), *(c for c in docs.columns if c != text_col)).alias("row")] if whole else []
+    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col).cast("long")).alias("held_out"), *rest, F.col(text_col).cast("string").alias("text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema.fields if whole or f.name != "text")
     return t.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: dict | None, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without the documents whose language is ``und`` or less probable than ``min_score``."""
+    told = predict(docs, model, id_col, text_col, whole=True).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return told.select([F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
