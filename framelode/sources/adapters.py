@@ -71,7 +71,7 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RINGS = """rings AS (
   SELECT vec_id AS frame, CAST(label AS BIGINT) AS track,
-         list_transform(range(0, 32), i -> {'x': CAST(embedding[2 * i + 1] AS DOUBLE) * 100, 'y': CAST(embedding[2 * i + 2] AS DOUBLE) * 100}) AS ring FROM embeddings)"""
+         list_transform(range(0, 32), lambda i: {'x': CAST(embedding[2 * i + 1] AS DOUBLE) * 100, 'y': CAST(embedding[2 * i + 2] AS DOUBLE) * 100}) AS ring FROM embeddings)"""
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
