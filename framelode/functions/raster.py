@@ -66,13 +66,12 @@ def fill_ring(ring: np.ndarray, grid: np.ndarray, x0: int, y0: int, value: bool
     q = np.roll(p, -1, axis=0)
     h, w = grid.shape
     ys = np.arange(h)
-    up = (p[:, 1, None] <= ys) != (q[:, 1, None] <= ys)
-    for y in range(h):
-        e = np.flatnonzero(up[:, y])
-        if len(e):
-            xs = np.sort(p[e, 0] + (y - p[e, 1]) * (q[e, 0] - p[e, 0]) / (q[e, 1] - p[e, 1]))
-            for a, b in zip(xs[::2], xs[1::2], strict=False):
-                grid[y, max(0, int(np.ceil(a))) : min(w, int(np.floor(b)) + 1)] = value
+    edge, row = np.nonzero((p[:, 1, None] <= ys) != (q[:, 1, None] <= ys))
+    x = p[edge, 0] + (row - p[edge, 1]) * (q[edge, 0] - p[edge, 0]) / (q[edge, 1] - p[edge, 1])
+    # a pixel is inside if an odd number of edges cross its row at or before it
+    flips = np.zeros((h, w + 1), np.int32)
+    np.add.at(flips, (row, np.clip(np.ceil(x), 0, w).astype(int)), 1)
+    grid[(np.cumsum(flips, axis=1)[:, :w] % 2).astype(bool)] = value
     for (ax, ay), (bx, by) in zip(p, q, strict=True):
         n = int(max(abs(bx - ax), abs(by - ay), 1))
         xs, yy = np.rint(np.linspace(ax, bx, n + 1)).astype(int), np.rint(np.linspace(ay, by, n + 1)).astype(int)

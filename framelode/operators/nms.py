@@ -48,6 +48,19 @@ def box_clashes(b: np.ndarray, margin: float = 2.0) -> np.ndarray:
     return contained | (iou >= limit)
 
 
+def _contested(boxes: DataFrame, keys: list[str], margin: float = 2.0) -> DataFrame:
+    """Keys of frames in which any two boxes come within ``margin`` of each other; all others keep everything, and
+    never leave the JVM."""
+    a, b = boxes.select(*keys, F.struct("idx", "x1", "y1", "x2", "y2").alias("a")), boxes.select(*keys, F.struct("idx", "x1", "y1", "x2", "y2").alias("b"))
+    near = F.expr(f"a.idx < b.idx AND a.x1 - {margin} <= b.x2 AND b.x1 - {margin} <= a.x2 AND a.y1 - {margin} <= b.y2 AND b.y1 - {margin} <= a.y2")
+    return a.join(b, keys).where(near).select(*keys).distinct()
+
+
+def _resolve(boxes: DataFrame, keys: list[str], run) -> DataFrame:
+    hot = _contested(boxes, keys)
+    return boxes.join(hot, keys, "left_anti").unionByName(boxes.join(hot, keys, "left_semi").groupBy(*keys).applyInArrow(run, boxes.schema))
+
+
 def box_nms(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Detections (keys, idx, x1, y1, x2, y2, score) kept by greedy suppression; ties of score go to the lower idx.
 
@@ -61,7 +74,7 @@ def box_nms(boxes: DataFrame, keys: list[str]) -> DataFrame:
         keep = greedy(order, box_clashes(np.stack([cols[c] for c in ("x1", "y1", "x2", "y2")], axis=1).astype(float)))
         return t.filter(pa.array(keep))
 
-    return boxes.groupBy(*keys).applyInArrow(run, boxes.schema)
+    return _resolve(boxes, keys, run)
 
 
 def top_per_frame(kept: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -83,7 +96,7 @@ def class_nms(boxes: DataFrame, threshold: float, k: int) -> DataFrame:
         clash = np.divide(both, union, out=np.zeros_like(both), where=union > 0) > threshold
         return t.filter(pa.array(greedy(np.lexsort((t["idx"].to_numpy(), -t["score"].to_numpy())), clash)))
 
-    return top_per_frame(boxes.groupBy("frame", "label").applyInArrow(run, boxes.schema), ["frame"], k)
+    return top_per_frame(_resolve(boxes, ["frame", "label"], run), ["frame"], k)
 
 
 def overlapping_pairs(boxes: DataFrame) -> DataFrame:
@@ -99,14 +112,19 @@ def overlapping_pairs(boxes: DataFrame) -> DataFrame:
 def mask_clashes(polygons: list[list], score_order: np.ndarray, coverage: float = 0.80) -> np.ndarray:
     """Pairs of masks of which one suppresses the other, by exact pixels; boxes that don't meet are not rasterised."""
     n = len(polygons)
-    masks = [raster.crop_mask(p) for p in polygons]
-    sizes = np.array([min(m.box_area, raster.polygons_area(p)) if m.pixels else 0.0 for m, p in zip(masks, polygons, strict=True)])
+    ends = [np.rint(np.concatenate([np.asarray(r, float).reshape(-1, 2) for r in p])) if p else np.full((1, 2), np.nan) for p in polygons]
+    lo, hi = np.array([e.min(axis=0) for e in ends]).reshape(-1, 2), np.array([e.max(axis=0) for e in ends]).reshape(-1, 2)
+    meets = np.all((lo[:, None] <= hi[None]) & (lo[None] <= hi[:, None]), axis=2)
     clash = np.zeros((n, n), bool)
-    for i in range(n):
-        for j in range(i + 1, n):
-            both = raster.common_pixels(masks[i], masks[j])
-            if not both:
-                continue
+    masks: dict[int, raster.Mask] = {}
+    sizes: dict[int, float] = {}
+    for i, j in zip(*np.nonzero(np.triu(meets, 1)), strict=True):
+        for k in (i, j):
+            if k not in masks:
+                masks[k] = raster.crop_mask(polygons[k])
+                sizes[k] = min(masks[k].box_area, raster.polygons_area(polygons[k]))
+        both = raster.common_pixels(masks[i], masks[j])
+        if both:
             a, b = masks[i].pixels, masks[j].pixels
             limit, ratio = band(np.array(min(sizes[i], sizes[j])))
             small, large = min(a, b), max(a, b)
@@ -115,14 +133,14 @@ def mask_clashes(polygons: list[list], score_order: np.ndarray, coverage: float
 
 
 def mask_nms(detections: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy suppression by exact masks; ``polygons`` is array<array<array<double>>>."""
+    """Greedy suppression by exact masks; ``polygons`` is array<array<array<double>>> inside the box x1 .. y2."""
 
     def run(t: pa.Table) -> pa.Table:
         score = np.nan_to_num(t["score"].to_numpy(zero_copy_only=False).astype(float), nan=0.0)
         order = np.lexsort((t["idx"].to_numpy(), -score))
         return t.filter(pa.array(greedy(order, mask_clashes(t["polygons"].to_pylist(), order))))
 
-    return detections.groupBy(*keys).applyInArrow(run, detections.schema)
+    return _resolve(detections, keys, run)
 
 
 def split_components(polygons: list, hole_fill: bool = True, island_ratio: float = 0.01) -> tuple[list, list[list]]:
