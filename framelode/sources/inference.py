@@ -15,6 +15,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def open_store(spark: SparkSession, path: str, tables: list[str], partitions: int = 8) -> dict[str, DataFrame]:
     spark.dataSource.register(SqliteDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return {t: spark.read.format("sqlite_table").option("path", path).option("table", t).option("partitions", str(partitions)).load() for t in tables}
 
 
@@ -27,7 +28,7 @@ def scan_raw(store: dict[str, DataFrame]) -> DataFrame:
 
 def flat_points(p):
     """[x, y, x, y, ...] as points."""
-    return F.transform(F.sequence(F.lit(0), F.size(p) / 2 - 1), lambda i: F.array(F.element_at(p, (2 * i + 1).cast("int")), F.element_at(p, (2 * i + 2).cast("int"))))
+    return F.transform(F.sequence(F.lit(0), (F.size(p) / 2 - 1).cast("int")), lambda i: F.array(F.element_at(p, 2 * i + 1), F.element_at(p, 2 * i + 2)))
 
 
 def scan_unified(store: dict[str, DataFrame]) -> DataFrame:
