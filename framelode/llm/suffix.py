@@ -34,8 +34,6 @@ GRAM = 32
 #: Contexts of one anchor up to which they are put into one suffix array; bytes of text at which a shard's array is built.
 DENSE = 4096
 SHARD = 4 << 20
-#: Places to look up in documents up to which they (under 60 bytes each) are broadcast.
-FEW_PLACES = 200_000
 _BATCH = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -355,8 +353,6 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     mixed = found.where("NOT one")
     kinds = materialise(mixed.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "lo", "hi")).alias("at")), "kinds")
     where = kinds.groupBy(F.col("at.doc_id").alias("k"), F.col("at.h").alias("kh")).agg(F.collect_list(F.struct("at.lo", "at.hi", "ah", "ch")).alias("want"))
-    if kinds.count() <= FEW_PLACES:
-        where = F.broadcast(where)
     text = docs.join(where, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh"))).select("text", "want").mapInArrow(_cut_contexts(length), "ah long, ch long, context binary")
     # rows that repeat id and text give a context more than once
     text = materialise(text.dropDuplicates(["ah", "ch"]), "context-text")
