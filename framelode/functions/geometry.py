@@ -96,3 +96,9 @@ def floor_percentile(column: str, q: float) -> Column:
 def vertex_budget(occupancy: Column) -> Column:
     """Vertices that a mask of this share of the frame gets."""
     return F.when(occupancy <= 0.03, 14).when(occupancy <= 0.10, 16).when(occupancy <= 0.25, 18).otherwise(20)
+
+
+def canonical_ellipse(a: Column, b: Column, degrees: Column) -> list[Column]:
+    """Radii with the larger first and the angle in [-90, 90)."""
+    turned = F.when(b > a, degrees + 90).otherwise(degrees) + 90
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), (turned - 180 * F.floor(turned / 180) - 90).alias("theta")]

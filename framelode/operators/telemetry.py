@@ -62,3 +62,9 @@ def regressions(samples: DataFrame, keys: list[str], order: str, value: str) ->
     w = Window.partitionBy(*keys).orderBy(order)
     s = samples.withColumn("p", F.lag(value).over(w))
     return s.groupBy(*keys).agg(F.sum(F.when(F.col(value) + 1e-9 < F.col("p"), 1).otherwise(0)).alias("regressions"))
+
+
+def parse_lines(lines: DataFrame, column: str, data: str) -> DataFrame:
+    """Adds ``level``, ``job`` and ``data`` from lines like ``[WARN] job=7 @@json {...}``; nulls where absent."""
+    part = lambda p: F.nullif(F.regexp_extract(column, p, 1), F.lit(""))
+    return lines.withColumn("level", F.lower(part(r"^\[(\w+)\]"))).withColumn("job", part(r"\bjob=(\d+)").cast("long")).withColumn("data", F.from_json(part(r"@@json (\{.*\})"), data))

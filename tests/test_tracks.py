@@ -136,3 +136,23 @@ def test_contract_rules(spark):
     declared = spark.createDataFrame([(2,)], "cut_count long")
     got = {r.rule: r.violations for r in validate.report(validate.mask_rules(masks, cut, declared)).collect()}
     assert got == {"frame_not_negative": 1, "track_not_empty": 1, "polygons_present": 1, "key_unique": 1, "cut_count_matches": 1}
+
+
+def test_result_tables(spark):
+    from framelode.operators import results
+
+    s = results.segment_table(spark.createDataFrame([("b", 0, 9), ("a", 5, 8), ("a", 0, 3)], "track string, start_frame long, end_frame long"))
+    assert sorted((r.segment_id, r.track, r.start_frame) for r in s.collect()) == [(1, "a", 0), (2, "a", 5), (3, "b", 0)]
+    k = results.keyframe_table(spark.createDataFrame([("a", 1), ("a", 6), ("b", 2), ("b", 1)], "track string, frame long"), s)
+    assert sorted((r.keyframe_id, r.segment_id, r.frame, r.keyframe_index) for r in k.collect()) == [(1, 1, 1, 0), (2, 2, 6, 0), (3, 3, 1, 0), (4, 3, 2, 1)]
+    assert {r.name: r.available for r in results.capabilities({"s": s, "none": s.limit(0)}).collect()} == {"s": True, "none": False}
+    assert list(results.compact({"masks": s, "k": k})) == ["k"]
+    assert results.split_range(0, 9, [1, 1, 3]) == [(0, 1), (2, 3), (4, 9)] and results.split_range(5, 5, [1, 1]) in ([(5, 5)],)
+
+
+def test_border_expansion(spark):
+    from framelode.operators import borders
+
+    df = spark.createDataFrame([(1, [(0.0, 40.0), (60.0, 40.0), (60.0, 60.0), (0.0, 60.0)]), (2, [(40.0, 40.0), (60.0, 40.0), (60.0, 60.0)])], "frame long, ring array<struct<x:double,y:double>>")
+    got = {r.frame: [tuple(p) for p in r.ring] for r in borders.expand(df, (0.0, 0.0, 100.0, 100.0)).collect()}
+    assert got[1][0] == (-6.0, 40.0) and got[1][1] == (60.0, 40.0) and got[2][0] == (40.0, 40.0)
