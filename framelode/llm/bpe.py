@@ -27,7 +27,7 @@ from .common import keyed
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Mean distance of cuts in bytes (a power of two), and bytes of distinct chunks that a worker keeps.
 CHUNK = 1024
-KEPT = 48 << 20
+KEPT = 24 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SAFE = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 

@@ -41,11 +41,22 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+#: Rows of an Arrow batch of texts, where the session has Spark's default: batches of 10,000 long texts are too large.
+TEXTS_PER_BATCH = 1000
+_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_PER_BATCH) == "10000":
+        spark.conf.set(_PER_BATCH, str(TEXTS_PER_BATCH))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only what an operator needs, under names of its own: ``doc_id`` long, ``text`` string.
 
     Extra columns of the input never reach an operator's plan, so their names can't clash.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

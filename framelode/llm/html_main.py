@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Labelled pages that weights are fitted on: the first by hash, so that any input gives a bounded sample.
 SAMPLE = 500
 _TOKEN = re.compile(
@@ -161,6 +163,7 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None, id_col: s
             texts = [main_text(p, w) for p in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     t = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     kinds = {c: t.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     return t.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

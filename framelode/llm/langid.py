@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Sample that the network is fitted on: documents of each language (first by hash), languages (most documents first),
 #: windows of a document (evenly over the whole text).
 DOCS_PER_LANG = 300
@@ -263,6 +265,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
             out = {c: b.column(c) for c in b.schema.names if whole or c != "text"} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
+    small_batches(docs.sparkSession)
     rest = [F.struct(F.lit(True).alias("_"), *(c for c in docs.columns if c != text_col)).alias("row")] if whole else []
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col).cast("long")).alias("held_out"), *rest, F.col(text_col).cast("string").alias("text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.schema.fields if whole or f.name != "text")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialise
+from .common import keyed, materialise, small_batches
 
 MIN_WORDS = 5
 _PLACE = "struct<doc_id:bigint,h:bigint,line:int>"
@@ -182,6 +182,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append(t)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "gone")), pa.array(out, pa.string())], names=["row", "gone", "its_text"])
 
+    small_batches(docs.sparkSession)
     gone = materialise(repeated_lines(docs, id_col, text_col, min_words).groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone")), "gone")
     gone = gone.select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), "gone")
     rest = [c for c in docs.columns if c != text_col]
