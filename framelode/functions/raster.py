@@ -72,11 +72,13 @@ def fill_ring(ring: np.ndarray, grid: np.ndarray, x0: int, y0: int, value: bool
     flips = np.zeros((h, w + 1), np.int32)
     np.add.at(flips, (row, np.clip(np.ceil(x), 0, w).astype(int)), 1)
     grid[(np.cumsum(flips, axis=1)[:, :w] % 2).astype(bool)] = value
-    for (ax, ay), (bx, by) in zip(p, q, strict=True):
-        n = int(max(abs(bx - ax), abs(by - ay), 1))
-        xs, yy = np.rint(np.linspace(ax, bx, n + 1)).astype(int), np.rint(np.linspace(ay, by, n + 1)).astype(int)
-        ok = (xs >= 0) & (xs < w) & (yy >= 0) & (yy < h)
-        grid[yy[ok], xs[ok]] = value
+    # every edge, a pixel a step
+    steps = np.maximum(np.abs(q - p).max(axis=1), 1).astype(int) + 1
+    of = np.repeat(np.arange(len(p)), steps)
+    share = (np.arange(len(of)) - np.repeat(np.cumsum(steps) - steps, steps)) / (steps - 1)[of]
+    at = np.rint(p[of] + (q - p)[of] * share[:, None]).astype(int)
+    at = at[((at >= 0) & (at < (w, h))).all(axis=1)]
+    grid[at[:, 1], at[:, 0]] = value
 
 
 def crop_mask(polygons: list, union: bool = False, snap=np.rint) -> Mask:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tracks
+from .grouped import per_group
 
 
 def fixed_interval(rows: DataFrame, interval: int) -> DataFrame:
@@ -147,7 +148,7 @@ def compress(samples: DataFrame, columns: list[str], interval: int = 6, max_gap:
 
     kinds = dict(samples.dtypes)
     shape = f"track {kinds['track']}, segment {kinds['segment']}, frame {kinds['frame']}, keyframe_index int, " + ", ".join(f"{c} double" for c in columns)
-    return samples.select("track", "segment", "frame", *columns).groupBy("track", "segment").applyInArrow(run, shape)
+    return per_group(samples.select("track", "segment", "frame", *columns), ["track", "segment"], run, shape)
 
 
 def provenance_violations(used: DataFrame, keys: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from framelode.functions import geometry, raster
 
+from .grouped import per_group
+
 #: Size bands: (largest area, IoU threshold, largest ratio of a contained pair).
 BANDS = ((2000.0, 0.05, 5.0), (5000.0, 0.10, 5.0), (float("inf"), 0.20, 8.0))
 
@@ -58,7 +60,7 @@ def _contested(boxes: DataFrame, keys: list[str], margin: float = 2.0) -> DataFr
 
 def _resolve(boxes: DataFrame, keys: list[str], run) -> DataFrame:
     hot = _contested(boxes, keys)
-    return boxes.join(hot, keys, "left_anti").unionByName(boxes.join(hot, keys, "left_semi").groupBy(*keys).applyInArrow(run, boxes.schema))
+    return boxes.join(hot, keys, "left_anti").select(boxes.columns).unionByName(per_group(boxes.join(hot, keys, "left_semi").select(boxes.columns), keys, run, boxes.schema))
 
 
 def box_nms(boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,4 +191,4 @@ def component_nms(detections: DataFrame, keys: list[str], coverage: float = 0.80
         return t.filter(pa.array(alive))
 
     schema = detections.withColumn("hint_area", F.lit(0.0)).schema
-    return detections.groupBy(*keys).applyInArrow(run, schema)
+    return per_group(detections, keys, run, schema)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from framelode.functions.shapes import assign
 
+from .grouped import per_group
+
 #: Fixed values of greedy association by mean box area: (up to, IoU, centre distance, area ratio low, high, log aspect,
 #: score). Masks are compared in the last band only.
 GATES = np.array([
@@ -190,7 +192,7 @@ def track_boxes(detections: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
             local[rows] = tracker.step(frame, boxes[rows], masks[rows])
         return t.append_column("local", pa.array(local))
 
-    got = rows.groupBy("video", "scene").applyInArrow(run, rows.withColumn("local", F.lit(0).cast("long")).schema)
+    got = per_group(rows, ["video", "scene"], run, rows.withColumn("local", F.lit(0).cast("long")).schema)
     firsts = got.groupBy("video", "scene", "local").agg(F.min(F.struct("frame", "idx")).alias("first"))
     firsts = firsts.withColumn("track", F.row_number().over(Window.partitionBy("video").orderBy("first.frame", "first.idx")).cast("long"))
     return got.join(firsts.select("video", "scene", "local", "track"), ["video", "scene", "local"]).select(*detections.columns, "track")
@@ -223,9 +225,9 @@ def track_faces(observations: DataFrame, summaries: bool = False) -> DataFrame:
     if summaries:
         kinds = dict(observations.dtypes)
         shape = f"video {kinds['video']}, scene {kinds['scene']}, " + ", ".join(f"{c} {k}" for c, k in tail.items())
-        got = observations.groupBy("video", "scene").applyInArrow(run, shape)
+        got = per_group(observations, ["video", "scene"], run, shape)
     else:
-        got = observations.groupBy("video", "scene").applyInArrow(run, observations.withColumn("serial", F.lit(0).cast("long")).withColumn("stage", F.lit("")).schema)
+        got = per_group(observations, ["video", "scene"], run, observations.withColumn("serial", F.lit(0).cast("long")).withColumn("stage", F.lit("")).schema)
     counts = got.groupBy("video", "scene").agg(F.max("serial").alias("n"))
     w = Window.partitionBy("video").orderBy("scene")
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("is_last", F.lead("scene").over(w).isNull())
