@@ -193,13 +193,22 @@ def test_bpe_joins_at_any_cut():
             assert enc.encode(t.encode()).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
-def test_chunks_are_reused():
+def test_shared_chunks_are_known():
     enc = bpe.Encoder(bpe.default_vocabulary(), mean=64)
     t = " ".join(f"word{i}" for i in range(4000)).encode()
-    enc.encode(t)
+    u = b"something before " + t
+    table = {(x, y): enc.chunk(part) for x, y, part in bpe.chunks(t, 64)}
+    whole = enc.encode(u)
+    known = {k: table[(x, y)] for k, (x, y, _) in enumerate(bpe.chunks(u, 64)) if (x, y) in table}
     before = enc.encoded
-    enc.encode(b"something before " + t)
-    assert enc.encoded - before < 0.35 * before
+    assert np.array_equal(enc.encode(u, known), whole)
+    assert enc.encoded - before < 0.45 * len(u) and len(known) > 0.9 * len(bpe.chunks(u, 64))
+
+
+def test_shared_map(spark):
+    values = [5, -7, (1 << 40) + 9, -(1 << 60), bpe.MAP_BITS - 1]
+    bits = bpe.shared_map(spark.createDataFrame([(v, 0) for v in values], "c1 long, c2 long"))
+    assert len(bits) == bpe.MAP_BITS // 8 and all(bpe._hit(bits, v) for v in values) and sum(map(int.bit_count, bits)) == 5
 
 
 def test_empty_tables(empty):
