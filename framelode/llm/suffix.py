@@ -347,7 +347,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     ``docs`` has doc_id, h (xxhash64 of the text) and text.
     """
     rows = materialise(docs.select("doc_id", "h", "text").mapInArrow(_context_rows(length, gram), "doc_id long, h long, lo long, hi long, ah long, ch long"), "contexts")
+    # written first, so that the join that follows has two plain shuffles, which Spark can split where an anchor is hot
     shared = rows.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("a"), F.max("ch").alias("z")).where("n > 1").select("ah", (F.col("a") == F.col("z")).alias("one"))
+    shared = materialise(shared, "shared-anchors")
     found = materialise(rows.join(shared, "ah"), "shared-contexts")
     alone = found.where("one").select("doc_id", "h", "lo", "hi")
     mixed = found.where("NOT one")
