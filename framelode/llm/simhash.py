@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialise
+from .common import keyed, materialise, shuffle_partitions
 from .components import connected_components
 
 SEED = 42
@@ -89,7 +89,9 @@ def _ball_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     """Links (u, v) whose connected components are those of all pairs of ``distinct.fp`` within three bits."""
-    variants = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(
+    # few bytes that become 64 rows each: spread before, as adaptive coalescing only sees the bytes
+    spread = distinct.select("fp").repartition(shuffle_partitions(distinct.sparkSession), "fp")
+    variants = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(
         "fp", F.expr("shiftleft(CAST(p AS BIGINT), 32) | (shiftrightunsigned(fp, 32 * (p div 32)) & 4294967295L & ~shiftleft(1L, CAST(p % 32 AS INT)))").alias("variant")
     )
     shared = variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
