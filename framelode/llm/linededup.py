@@ -191,3 +191,25 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     t = t.mapInArrow(run, t.schema).where("its_text IS NOT NULL OR gone IS NULL")
     cols = [F.col("its_text").alias(c) if c == text_col else F.length("its_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return t.select(cols)
+
+
+#: The same result as SQL, for tables with one row an id.
+ORACLE = r"""
+WITH l AS (SELECT doc_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS line, unnest(s) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+n AS (SELECT doc_id, line, trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS x FROM l WHERE trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''),
+f AS (SELECT x, min({'d': doc_id, 'l': line}) AS first FROM n GROUP BY x),
+t AS (SELECT x, first, string_split(x, ' ') AS w FROM f WHERE len(string_split(x, ' ')) >= 5),
+v AS (
+  SELECT x, first, -1 AS spot, x AS v FROM t
+  UNION ALL SELECT x, first, i AS spot, array_to_string(list_concat(w[1 : i], w[i + 2 :]), ' ') FROM (SELECT *, unnest(range(0, len(w))) AS i FROM t)),
+m AS (SELECT v, spot, min(first) AS low FROM v GROUP BY v, spot),
+whole AS (SELECT v, low FROM m WHERE spot = -1), less AS (SELECT v, min(low) AS low FROM m WHERE spot >= 0 GROUP BY v),
+p AS (
+  SELECT v.x, v.first, m.low FROM v JOIN m ON v.v = m.v AND v.spot = m.spot WHERE v.spot >= 0
+  UNION ALL SELECT v.x, v.first, less.low FROM v JOIN less ON v.v = less.v WHERE v.spot = -1
+  UNION ALL SELECT v.x, v.first, whole.low FROM v JOIN whole ON v.v = whole.v WHERE v.spot >= 0),
+near AS (SELECT x, min(low) AS witness FROM p WHERE low < first GROUP BY x)
+SELECT n.doc_id, n.line, CASE WHEN f.first = {'d': n.doc_id, 'l': n.line} THEN near.witness.d ELSE f.first.d END AS first_doc_id,
+  CASE WHEN f.first = {'d': n.doc_id, 'l': n.line} THEN near.witness.l ELSE f.first.l END AS first_line, f.first = {'d': n.doc_id, 'l': n.line} AS near
+FROM n JOIN f ON f.x = n.x LEFT JOIN near ON near.x = n.x WHERE near.witness IS NOT NULL OR f.first <> {'d': n.doc_id, 'l': n.line}
+"""

@@ -102,3 +102,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     t = t.join(gone, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh")), "left").select("doc_id", "text", "removed")
     out = t.mapInArrow(run, "doc_id long, n_units long, removed array<struct<start:int,end:int>>, kept string")
     return out.withColumn("n_removed", F.coalesce(F.size("removed"), F.lit(0)).cast("long"))
+
+
+#: The same result as SQL, for tables with one row an id.
+ORACLE = r"""
+WITH l AS (SELECT doc_id, unnest(s) AS x, unnest(range(0, len(s))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+lo AS (SELECT doc_id, line, x, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
+q AS (SELECT doc_id, line, off, unnest(p) AS piece, unnest(range(0, len(p))) AS k FROM (SELECT *, regexp_extract_all(x, '.+?(?:[.!?…]+(?:\s|$)|$)') AS p FROM lo)),
+po AS (SELECT *, off + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id, line ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM q),
+u AS (
+  SELECT doc_id, CAST(pos + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS BIGINT) AS a, CAST(pos + length(regexp_replace(piece, '\s+$', '')) AS BIGINT) AS z,
+         trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) AS norm
+  FROM po WHERE regexp_matches(piece, '\S')),
+gone AS (
+  SELECT doc_id, a, z FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, a) AS place FROM u WHERE len(string_split(norm, ' ')) >= 8) WHERE place > 1),
+e AS (SELECT g.doc_id, g.a, g.z, g.z + length(regexp_extract(d.text[g.z + 1 : length(d.text)], '^\s*')) AS z2, d.text FROM gone g JOIN documents d ON d.doc_id = g.doc_id),
+cutp AS (
+  SELECT doc_id, text, coalesce(lag(z2) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start, a AS stop FROM e
+  UNION ALL SELECT doc_id, text, max(z2), length(text) FROM e GROUP BY doc_id, text),
+kept AS (SELECT doc_id, sha256(string_agg(text[start + 1 : stop], '' ORDER BY start, stop)) AS kept_sha256 FROM cutp GROUP BY doc_id),
+spans AS (SELECT doc_id, count(*) AS n_removed, string_agg(a || '-' || z, ',' ORDER BY a) AS removed FROM gone GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n_units, 0) AS n_units, coalesce(s.n_removed, 0) AS n_removed, coalesce(s.removed, '') AS removed, coalesce(k.kept_sha256, sha256(coalesce(d.text, ''))) AS kept_sha256
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -400,3 +400,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     found = materialise(found, "ranges").select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), "ranges")
     t = t.join(found, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh")), "left").select("doc_id", "text", "ranges")
     return t.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+
+
+#: The same result as SQL, for tables with one row an id.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, p, b[p + 1 : p + 200] AS s FROM (SELECT doc_id, b, unnest(range(0, n - 199)) AS p FROM d)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY s) AS c FROM w) WHERE c > 1),
+g AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS brk FROM r),
+i AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM g),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS z FROM i GROUP BY doc_id, k),
+edges AS (
+  SELECT doc_id, a AS stop, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM spans
+  UNION ALL SELECT d.doc_id, d.n, coalesce(max(z), 0) FROM d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id, d.n),
+kept AS (SELECT e.doc_id, sha256(unhex(string_agg(hex(d.b[e.start + 1 : e.stop]), '' ORDER BY e.start))) AS kept_sha256 FROM edges e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(sum(s.z - s.a), 0) AS BIGINT) AS n_removed, count(s.a) AS n_spans, k.kept_sha256
+FROM d JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id, d.n, k.kept_sha256
+"""
