@@ -86,3 +86,22 @@ def privacy_masks(spark, sf_dir):
     o = b.select((F.col("frame") * 100 + F.col("idx")).alias("observation_id"), F.array(cx, cy, h / 2, w / 2, F.lit(1.5707963267948966)).alias("ellipse"), F.array(eye(-1), eye(1)).alias("keypoints"))
     m = privacy.privacy_masks(o)
     return m.select("observation_id", "mask.derivation", "mask.cx", "mask.cy", "mask.half_width", "mask.half_height", "mask.theta", F.size("mask.polygon").alias("points"))
+
+
+@query("aligned_densification")
+def aligned_densification(spark, sf_dir):
+    from framelode.operators import rings
+
+    r = src.rings(spark, sf_dir).select("track", F.lit(0).alias("scene"), "frame", F.array(F.transform("ring", lambda p: F.array(p["x"], p["y"]))).alias("polygons"))
+    return rings.densify_rings(r, aligned=True, max_span=20).select("track", "frame", "is_key", F.size(F.col("polygons")[0]).alias("points"))
+
+
+@query("face_privacy_masks")
+def face_privacy_masks(spark, sf_dir):
+    from framelode.operators import faces
+
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    eye = lambda k: F.struct((cx + k * w / 5).alias("x"), (cy - h / 8).alias("y"), F.lit("Eye").alias("class_name"), F.col("score").alias("confidence"), F.lit(True).alias("valid"))
+    o = scened(spark, sf_dir).withColumn("face_score", F.col("score")).withColumn("ellipse", F.array(cx, cy, h / 2, w / 2, F.lit(1.5707963267948966))).withColumn("keypoints", F.array(eye(-1), eye(1)))
+    return faces.face_masks(o).drop("derivation")

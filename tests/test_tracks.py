@@ -156,3 +156,42 @@ def test_border_expansion(spark):
     df = spark.createDataFrame([(1, [(0.0, 40.0), (60.0, 40.0), (60.0, 60.0), (0.0, 60.0)]), (2, [(40.0, 40.0), (60.0, 40.0), (60.0, 60.0)])], "frame long, ring array<struct<x:double,y:double>>")
     got = {r.frame: [tuple(p) for p in r.ring] for r in borders.expand(df, (0.0, 0.0, 100.0, 100.0)).collect()}
     assert got[1][0] == (-6.0, 40.0) and got[1][1] == (60.0, 40.0) and got[2][0] == (40.0, 40.0)
+
+
+def test_rings_between_keys(spark):
+    from framelode.operators import rings
+
+    a, b = [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]]], [[[8.0, 0.0], [12.0, 0.0], [12.0, 4.0], [8.0, 4.0]]]
+    assert rings.between(a, b, 0.25)[0][0] == [2.0, 0.0]
+    turned = [[b[0][2], b[0][3], b[0][0], b[0][1]]]
+    assert np.allclose(rings.between(a, turned, 0.5, aligned=True), [[[4, 0], [8, 0], [8, 4], [4, 4]]])
+    assert rings.between(a, b + a, 0.4) == a and len(rings.between(a, b + a, 0.5)) == 2
+    df = spark.createDataFrame([("t", 0, 0, a), ("t", 0, 4, b), ("t", 1, 6, a)], "track string, scene long, frame long, polygons array<array<array<double>>>")
+    got = {r.frame: (r.is_key, r.polygons[0][0][0]) for r in rings.densify_rings(df).collect()}
+    assert got == {0: (True, 0.0), 1: (False, 2.0), 2: (False, 4.0), 3: (False, 6.0), 4: (True, 8.0), 6: (True, 0.0)}
+    assert rings.densify_rings(df, max_span=2).count() == 3
+
+
+def test_keys_grow_to_cover(spark):
+    from framelode.operators import rings
+
+    square = lambda w: [[[0.0, 0.0], [w, 0.0], [w, w], [0.0, w]]]
+    kind = "frame long, track string, polygons array<array<array<double>>>"
+    keys = spark.createDataFrame([(0, "a", square(97.0)), (1, "a", square(50.0))], kind)
+    seen = spark.createDataFrame([(0, "a", square(100.0))], kind)
+    got = {r.frame: r.polygons[0] for r in rings.repair_recall(keys, seen).collect()}
+    assert got[0][2][0] > 97 and got[1] == square(50.0)[0]
+
+
+def test_face_masks_fill_short_gaps(spark):
+    from framelode.operators import faces
+
+    eye = lambda x: (x, 40.0, "Eye", 0.9, True)
+    rows = [(0, 0, f, 0, 10.0 + f, 10.0, 90.0 + f, 90.0, 0.95, 0.9 if f != 2 else 0.1, [50.0 + f, 50.0, 40.0, 30.0, np.pi / 2], [eye(38.0 + f), eye(62.0 + f)]) for f in (0, 1, 2, 3, 8)]
+    df = spark.createDataFrame(rows, "video long, scene long, frame long, idx long, x1 double, y1 double, x2 double, y2 double, score double, face_score double, ellipse array<double>, keypoints array<struct<x:double,y:double,class_name:string,confidence:double,valid:boolean>>")
+    got = sorted((r.frame, r.cx, r.interpolated) for r in faces.face_masks(df).collect())
+    assert got == [(0, 50.0, False), (1, 51.0, False), (2, 52.0, True), (3, 53.0, False), (8, 58.0, False)]
+    m = spark.createDataFrame([(0, "1"), (1, "1")], "frame long, track string")
+    assert faces.merge_domains(m, m).count() == 4
+    with pytest.raises(Exception, match="two masks"):
+        faces.merge_domains(m.union(m), m).collect()
