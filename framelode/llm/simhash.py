@@ -89,8 +89,9 @@ def _ball_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     """Links (u, v) whose connected components are those of all pairs of ``distinct.fp`` within three bits."""
-    # few bytes that become 64 rows each: spread before, as adaptive coalescing only sees the bytes
-    spread = distinct.select("fp").repartition(shuffle_partitions(distinct.sparkSession), "fp")
+    # few bytes that become 64 rows each: spread before, as adaptive coalescing only sees the bytes (by another hash, as
+    # Spark drops a repartition by the key that rows are grouped by already)
+    spread = distinct.select("fp").repartition(shuffle_partitions(distinct.sparkSession), F.xxhash64("fp"))
     variants = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(
         "fp", F.expr("shiftleft(CAST(p AS BIGINT), 32) | (shiftrightunsigned(fp, 32 * (p div 32)) & 4294967295L & ~shiftleft(1L, CAST(p % 32 AS INT)))").alias("variant")
     )
