@@ -1,9 +1,11 @@
 """Substring dedup by hashing normalised units.
 
-A unit is a sentence of a line (``unit="sentence"``), a line or a blank-line separated paragraph. Units are normalised
-(case folded, white space runs one space), digests are grouped over all documents, the earliest occurrence by
-(doc_id, hash of the text, place) stays, and every other is cut out of its document. Cuts keep their offsets in the
-original text. Units of fewer than ``min_words`` words are too common to tell a copy and always stay.
+A unit is a sentence of a line (``unit="sentence"``), a line, a blank-line separated paragraph, or any of the three
+(``unit="all"``). Units are normalised (case folded, white space runs one space), digests are grouped over all
+documents, the earliest occurrence by (doc_id, hash of the text, place) stays, and every other is cut out of its
+document. Cuts keep their offsets in the original text; a cut inside another is part of it. Units of fewer than
+``min_words`` words (with "all", two letters of a script without spaces count as one) are too common to tell a copy and
+always stay; each unit is judged as a whole, so a line of many short sentences is long.
 
 Only digests and places are shuffled to find repeats; groups are reduced to one row before the shuffle, and a digest
 that many documents share is joined back by a join that Spark can split.
@@ -29,8 +31,15 @@ _UNITS = {
 }
 
 
+#: Letters of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def units(text: str, unit: str = "sentence") -> list[tuple[int, int]]:
     """(start, end) code points of the units of a text that hold anything but white space, trimmed, in order."""
+    if unit == "all":
+        # a paragraph of one line, or a line of one sentence, is one unit
+        return sorted({x for u in _UNITS for x in units(text, u)})
     out = []
     for m in _UNITS[unit].finditer(text):
         s = m.group()
@@ -44,6 +53,19 @@ def normalise(unit: str) -> list[str]:
     return unit.casefold().split()
 
 
+def long_enough(words: list[str], min_words: int) -> bool:
+    return len(words) + sum(map(len, map(_UNSPACED.findall, words))) // 2 >= min_words
+
+
+def outer(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in no other, in order; spans nest or stand apart."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if not out or end > out[-1][1]:
+            out.append((start, end))
+    return out
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the spans and the white space that follows each."""
     out, at = [], 0
@@ -64,7 +86,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for k, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for start, end in units(t or "", unit):
                     words = normalise(t[start:end])
-                    if len(words) >= min_words:
+                    if len(words) >= min_words or unit == "all" and long_enough(words, min_words):
                         ids.append(k)
                         hs.append(h)
                         starts.append(start)
@@ -83,17 +105,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_units long, n_removed long, removed array<struct<start,end>>, kept string) for each row.
 
+    ``removed`` holds the cuts that lie in no other.
     A null text has no units and stays null. Rows that repeat both id and text count as one document, so that
     neither loses to the other. Rows without an id rank after all others. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, kept = [], []
+            n, removed, kept = [], [], []
             for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 n.append(len(units(t or "", unit)))
-                kept.append(None if t is None else cut(t, [(s["start"], s["end"]) for s in spans or []]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2), pa.array(kept, pa.string())], names=["doc_id", "n_units", "removed", "kept"])
+                gone = outer([(s["start"], s["end"]) for s in spans or []])
+                removed.append([{"start": start, "end": end} for start, end in gone] or None)
+                kept.append(None if t is None else cut(t, gone))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, b.schema.field(2).type), pa.array(kept, pa.string())], names=["doc_id", "n_units", "removed", "kept"])
 
     gone = repeated_spans(docs, id_col, text_col, unit, min_words)
     gone = materialise(gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed")), "cuts")
