@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from framelode.functions import geometry as geo
 from framelode.operators import asof, keyframes, merge, telemetry, tracks, validate
 from framelode.sources import adapters as src
 
-from .registry import query
+from .registry import ORACLES, query
 from .track_queries import SEEN, seen
 
 T, B, K = src.TRACKS, src.BOXES, src.KEYFRAMES
@@ -109,12 +111,20 @@ def or_key_join(spark, sf_dir):
 
 # ---- as-of ---------------------------------------------------------------------------------------------------------
 
-#: Frames to look up: every fourth order's ship dates as days.
+#: Frames to look up: the ship dates of orders' fourth lines as days.
 ASK = "ask AS (SELECT DISTINCT o_custkey AS track, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS frame FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 4)"
 
 
 def ask(spark, sf_dir):
-    line = src.table(spark, sf_dir, "lineitem").where("l_linenumber = 4")
+    return _ask(spark, sf_dir, src.table(spark, sf_dir, "lineitem").where("l_linenumber = 4"))
+
+
+def ask_all(spark, sf_dir):
+    """All ship dates, not those of fourth lines alone."""
+    return _ask(spark, sf_dir, src.table(spark, sf_dir, "lineitem"))
+
+
+def _ask(spark, sf_dir, line):
     j = line.join(src.table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
     return j.select(F.col("o_custkey").alias("track"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long").alias("frame")).distinct()
 
@@ -128,12 +138,12 @@ def scene_of_frame(spark, sf_dir):
 @query("bracketing_keyframes", f"""
 WITH {K}, {ASK} SELECT a.track, a.frame, (SELECT max(frame) FROM keyframes k WHERE k.track = a.track AND k.frame <= a.frame) AS "left",
   (SELECT min(frame) FROM keyframes k WHERE k.track = a.track AND k.frame >= a.frame) AS "right" FROM ask a""")
-def bracketing_keyframes(spark, sf_dir):
+def bracketing_keyframes(spark, sf_dir, ask=ask):
     return asof.bracket(ask(spark, sf_dir), src.keyframes(spark, sf_dir), "x").select("track", "frame", "left", "right")
 
 
 @query("seek_anchor", f"""WITH {K}, {ASK} SELECT a.track, a.frame, max(k.frame) AS anchor FROM ask a LEFT JOIN keyframes k ON k.track = a.track AND k.frame <= a.frame GROUP BY 1, 2""")
-def seek_anchor(spark, sf_dir):
+def seek_anchor(spark, sf_dir, ask=ask):
     return asof.bracket(ask(spark, sf_dir), src.keyframes(spark, sf_dir), "x").select("track", "frame", F.col("left").alias("anchor"))
 
 
@@ -141,7 +151,7 @@ def seek_anchor(spark, sf_dir):
 WITH {K}, {ASK}, b AS (SELECT a.track, a.frame, (SELECT max(frame) FROM keyframes k WHERE k.track = a.track AND k.frame <= a.frame) AS l, (SELECT min(frame) FROM keyframes k WHERE k.track = a.track AND k.frame >= a.frame) AS r FROM ask a)
 SELECT b.track, b.frame, round(p.y + (q.y - p.y) * CASE WHEN l = r THEN 0.0 ELSE CAST(b.frame - l AS DOUBLE) / (r - l) END, 6) AS y
 FROM b JOIN keyframes p ON p.track = b.track AND p.frame = l JOIN keyframes q ON q.track = b.track AND q.frame = r""")
-def asof_interpolation(spark, sf_dir):
+def asof_interpolation(spark, sf_dir, ask=ask):
     b = asof.bracket(ask(spark, sf_dir), src.keyframes(spark, sf_dir), "y").where("left IS NOT NULL AND right IS NOT NULL")
     return b.select("track", "frame", F.round(F.expr("left_value + (right_value - left_value) * alpha"), 6).alias("y"))
 
@@ -151,12 +161,12 @@ NEAR = f"""{K}, {ASK}, n AS (SELECT a.track, a.frame, k.frame AS nearest, abs(a.
 
 
 @query("nearest_keyframe", f"WITH {NEAR} SELECT track, frame, nearest, distance, y FROM n WHERE p = 1")
-def nearest_keyframe(spark, sf_dir):
+def nearest_keyframe(spark, sf_dir, ask=ask):
     return asof.nearest(ask(spark, sf_dir), src.keyframes(spark, sf_dir), "y").where("nearest IS NOT NULL").withColumnRenamed("value", "y")
 
 
 @query("keyframe_within_radius", f"WITH {NEAR} SELECT track, frame, distance <= 30 AS near FROM n WHERE p = 1")
-def keyframe_within_radius(spark, sf_dir):
+def keyframe_within_radius(spark, sf_dir, ask=ask):
     n = asof.nearest(ask(spark, sf_dir), src.keyframes(spark, sf_dir), "y").where("nearest IS NOT NULL")
     return n.select("track", "frame", (F.col("distance") <= 30).alias("near"))
 
@@ -352,7 +362,7 @@ def group_size_checks(spark, sf_dir):
 @query("provenance_bracket", f"""
 WITH {K}, {ASK} SELECT a.track, a.frame FROM ask a WHERE NOT EXISTS (SELECT 1 FROM keyframes k WHERE k.track = a.track)
   OR NOT (EXISTS (SELECT 1 FROM keyframes k WHERE k.track = a.track AND k.frame <= a.frame) AND EXISTS (SELECT 1 FROM keyframes k WHERE k.track = a.track AND k.frame >= a.frame))""")
-def provenance_bracket(spark, sf_dir):
+def provenance_bracket(spark, sf_dir, ask=ask):
     used = ask(spark, sf_dir).withColumnRenamed("track", "segment")
     return keyframes.provenance_violations(used, src.keyframes(spark, sf_dir).withColumnRenamed("track", "segment")).withColumnRenamed("segment", "track")
 
@@ -508,3 +518,10 @@ def metadata_flatten(spark, sf_dir):
     e = src.table(spark, sf_dir, "events")
     doc = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "tags": ["'), F.col("event_type"), F.lit('", null]}'))
     return flatten(e.select("event_id", doc.alias("doc")), "event_id", "doc")
+
+
+# ---- whole tables --------------------------------------------------------------------------------------------------
+
+# the SQL of these queries states a part of the rows; the same over all of them, under a name of its own
+for _f in (bracketing_keyframes, seek_anchor, asof_interpolation, nearest_keyframe, keyframe_within_radius, provenance_bracket):
+    query(f"{_f.__name__}_all", ORACLES[_f.__name__].replace(" WHERE l_linenumber = 4", ""))(partial(_f, ask=ask_all))
