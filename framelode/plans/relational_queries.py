@@ -104,8 +104,8 @@ def gap_fill_flag(spark, sf_dir):
 @query("or_key_join", """
 WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 1000 AS head, l_suppkey % 1000 AS face FROM lineitem WHERE l_quantity >= 45)
 SELECT l_orderkey, s_suppkey, count(*) AS n FROM p JOIN supplier ON s_suppkey = head OR s_suppkey = face GROUP BY 1, 2""")
-def or_key_join(spark, sf_dir):
-    p = src.table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey", (F.col("l_partkey") % 1000).alias("head"), (F.col("l_suppkey") % 1000).alias("face"))
+def or_key_join(spark, sf_dir, rows="l_quantity >= 45"):
+    p = src.table(spark, sf_dir, "lineitem").where(rows).select("l_orderkey", (F.col("l_partkey") % 1000).alias("head"), (F.col("l_suppkey") % 1000).alias("face"))
     return validate.either_key(p, src.table(spark, sf_dir, "supplier").select("s_suppkey"), ("head", "face"), "s_suppkey").groupBy("l_orderkey", "s_suppkey").agg(F.count("*").alias("n"))
 
 
@@ -313,8 +313,8 @@ def natural_id_order(spark, sf_dir):
 WITH {T}, m AS (SELECT track, frame, CASE WHEN value > 5 THEN label END AS label, event_id FROM tracks WHERE track % 3 <> 0),
 f AS (SELECT track, arg_min(label, frame * 1000000 + event_id) FILTER (WHERE label IS NOT NULL) AS label FROM m GROUP BY track)
 SELECT CAST(f.track AS VARCHAR) AS track_id, coalesce(nullif(f.label, ''), 'unknown') AS label, count(*) AS masks FROM m JOIN f ON m.track = f.track GROUP BY 1, 2""")
-def legacy_export(spark, sf_dir):
-    m = src.tracks(spark, sf_dir).where("track % 3 <> 0").withColumn("l", F.when(F.col("value") > 5, F.col("label")))
+def legacy_export(spark, sf_dir, rows="track % 3 <> 0"):
+    m = src.tracks(spark, sf_dir).where(rows).withColumn("l", F.when(F.col("value") > 5, F.col("label")))
     g = m.groupBy("track").agg(F.min_by("l", F.when(F.col("l").isNotNull(), F.struct("frame", "event_id"))).alias("label"), F.count("*").alias("masks"))
     return g.select(F.col("track").cast("string").alias("track_id"), F.coalesce(F.nullif("label", F.lit("")), F.lit("unknown")).alias("label"), "masks")
 
@@ -525,3 +525,5 @@ def metadata_flatten(spark, sf_dir):
 # the SQL of these queries states a part of the rows; the same over all of them, under a name of its own
 for _f in (bracketing_keyframes, seek_anchor, asof_interpolation, nearest_keyframe, keyframe_within_radius, provenance_bracket):
     query(f"{_f.__name__}_all", ORACLES[_f.__name__].replace(" WHERE l_linenumber = 4", ""))(partial(_f, ask=ask_all))
+for _f, _rows in ((or_key_join, " WHERE l_quantity >= 45"), (legacy_export, " WHERE track % 3 <> 0")):
+    query(f"{_f.__name__}_all", ORACLES[_f.__name__].replace(_rows, ""))(partial(_f, rows="true"))

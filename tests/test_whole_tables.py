@@ -14,3 +14,20 @@ def test_all_ship_dates_are_looked_up(spark, name):
     want = sorted(duckdb.sql(sql).fetchall())
     got = sorted(map(tuple, catalog.QUERIES[name](spark, DIR).select("track", "frame").collect()))
     assert got == want
+
+
+def test_all_lines_meet_on_either_key(spark):
+    s = {r[0] for r in duckdb.sql(f"SELECT s_suppkey FROM '{DIR}/supplier.parquet'").fetchall()}
+    want = {}
+    for order, part, supplier in duckdb.sql(f"SELECT l_orderkey, l_partkey % 1000, l_suppkey % 1000 FROM '{DIR}/lineitem.parquet'").fetchall():
+        for k in {part, supplier} & s:
+            want[order, k] = want.get((order, k), 0) + 1
+    got = {(r[0], r[1]): r[2] for r in catalog.QUERIES["or_key_join_all"](spark, DIR).select("l_orderkey", "s_suppkey", "n").collect()}
+    assert got == want
+
+
+def test_all_tracks_are_exported(spark):
+    from framelode.sources import adapters
+
+    want = {str(r.track): r["count"] for r in adapters.tracks(spark, DIR).groupBy("track").count().collect()}
+    assert {r.track_id: r.masks for r in catalog.QUERIES["legacy_export_all"](spark, DIR).collect()} == want
