@@ -6,6 +6,9 @@ the vectors that point to it), of which it keeps the best. Queries run a greedy
 shard, and the shards' answers are merged by score. Vectors are compared by inner product; for the graph each gets one
 more component that levels all norms, so that the largest inner product is the nearest neighbour.
 
+On clustered vectors nearest links fall into closed parts, so a search starts from a coarse layer: the pivots of a
+shard, from which every node can be reached, are all compared with the query, and the best of them are its entries.
+
 Equal vectors are one node that stands for all its rows; rows come back, smallest id first, in the answers.
 """
 
@@ -29,6 +32,8 @@ EVERY = 20
 NEAREST = 20
 _BLOCK = 256
 _ENTRIES = 24
+#: One node in so many is a pivot.
+_PIVOT = 8
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +191,25 @@ def neighbour_graph(points: DataFrame, links: int = LINKS, rounds: int = ROUNDS)
     return graph
 
 
+def pivots(adjacent: np.ndarray, one_in: int = _PIVOT) -> np.ndarray:
+    """Random nodes, one in so many, and as many more as it takes to reach every node from them along the links."""
+    n = len(adjacent)
+    out = np.random.default_rng(n).permutation(n)[: max(_ENTRIES, -(-n // one_in))].tolist()
+    reached = np.zeros(n, bool)
+    edge = np.array(out)
+    while True:
+        while len(edge):
+            reached[edge] = True
+            edge = np.unique(adjacent[edge])
+            edge = edge[edge >= 0]
+            edge = edge[~reached[edge]]
+        left = np.flatnonzero(~reached)
+        if not len(left):
+            return np.array(out, np.int32)
+        out.append(int(left[0]))
+        edge = left[:1]
+
+
 def _pack_index(links: int):
     def run(near: pa.Table, t: pa.Table) -> pa.Table:
         at = np.argsort(t["nid"].to_numpy())
@@ -194,15 +218,15 @@ def _pack_index(links: int):
         for n, row in zip(near["nid"].to_pylist(), near["around"].to_pylist(), strict=True):
             adjacent[n, : len(row)] = row
         ids = t["ids"].combine_chunks().take(pa.array(at)).to_pylist()
-        return pa.table({"shard": t["shard"][:1], "kind": pa.array([v.dtype.str]), "dim": pa.array([v.shape[1]], pa.int32()), "vectors": pa.array([v.tobytes()], pa.binary()), "adjacent": pa.array([adjacent.tobytes()], pa.binary()), "ids": pa.array([ids], pa.list_(pa.list_(pa.int64())))})
+        return pa.table({"shard": t["shard"][:1], "kind": pa.array([v.dtype.str]), "dim": pa.array([v.shape[1]], pa.int32()), "vectors": pa.array([v.tobytes()], pa.binary()), "adjacent": pa.array([adjacent.tobytes()], pa.binary()), "pivots": pa.array([pivots(adjacent).tobytes()], pa.binary()), "ids": pa.array([ids], pa.list_(pa.list_(pa.int64())))})
 
     return run
 
 
 def build_index(points: DataFrame, links: int = LINKS, rounds: int = ROUNDS) -> DataFrame:
-    """A row for each shard: (shard, kind, dim, vectors binary, adjacent binary, ids)."""
+    """A row for each shard: (shard, kind, dim, vectors binary, adjacent binary, pivots binary, ids)."""
     near = _around(neighbour_graph(points, links, rounds), links).select("shard", "nid", "around")
-    packed = near.groupBy("shard").cogroup(points.select("shard", "nid", "ids", "embedding").groupBy("shard")).applyInArrow(_pack_index(links), "shard long, kind string, dim int, vectors binary, adjacent binary, ids array<array<bigint>>")
+    packed = near.groupBy("shard").cogroup(points.select("shard", "nid", "ids", "embedding").groupBy("shard")).applyInArrow(_pack_index(links), "shard long, kind string, dim int, vectors binary, adjacent binary, pivots binary, ids array<array<bigint>>")
     return materialise(packed, "index")
 
 
@@ -221,9 +245,12 @@ def _search(k: int, links: int, view: int):
                 q = np.frombuffer(row["queries"], row["kind"]).reshape(-1, row["dim"])
                 adjacent = np.frombuffer(row["adjacent"], np.int32).reshape(len(v), -1)
                 k1, k2, home, nid = (np.frombuffer(row[c], "<i8") for c in ("k1", "k2", "home", "nid"))
-                entries = np.tile(np.random.default_rng(len(v)).integers(0, len(v), _ENTRIES), (len(q), 1))
+                coarse = np.frombuffer(row["pivots"], np.int32)
+                near = q.astype(np.float32, copy=False) @ v[coarse].astype(np.float32, copy=False).T
+                entries = _best(near, np.broadcast_to(coarse, near.shape), _ENTRIES)[1].astype(np.int64)
                 here = home == row["shard"]
-                entries[here, 0] = nid[here]
+                own = np.where(here, nid, entries[:, 0])
+                entries = np.concatenate([entries, own[:, None]], axis=1)
                 scores, found = greedy_search(v, adjacent, q, entries, k, max(view, k))
                 out: tuple[list, list, list, list] = ([], [], [], [])
                 for i in range(len(q)):
