@@ -1,13 +1,16 @@
-"""Approximate nearest neighbours by NN-descent graphs and greedy search.
+"""Approximate nearest neighbours by one NN-descent graph over all vectors and greedy search along its links.
 
-Vectors are dealt into shards of bounded size. In every shard a graph links each vector to its nearest: it starts from
-random links and is improved by Spark joins, each round offering every vector the neighbours of its neighbours (and of
-the vectors that point to it), of which it keeps the best. Queries run a greedy best-first search on the graph of each
-shard, and the shards' answers are merged by score. Vectors are compared by inner product; for the graph each gets one
-more component that levels all norms, so that the largest inner product is the nearest neighbour.
+The graph links each distinct vector to its nearest. It starts from neighbours in several random orders (vectors sorted
+by the signs of random projections and compared within short runs) and is improved by Spark joins: in a round every
+vector's neighbours, in both directions, meet, all pairs of them with a new link are scored, and each keeps its best.
+Lists are sampled, new links first, so a round moves a bounded number of vectors per vector, whatever the table holds.
+Vectors are compared by inner product; for the graph each gets one more component that levels all norms, so that the
+largest inner product is the nearest neighbour. What is moved is a code of one byte a component.
 
-On clustered vectors nearest links fall into closed parts, so a search starts from a coarse layer: the pivots of a
-shard, from which every node can be reached, are all compared with the query, and the best of them are its entries.
+Queries are rows of the table, so a search starts from the query's own links, and from the vectors of the largest norms.
+Each step expands the best nodes not yet expanded: it joins them to their links, the links not yet seen to their codes,
+and scores those. Work for a query does not grow with the table but by its links and steps. The best in view are scored
+again, in double precision, on the original vectors.
 
 Equal vectors are one node that stands for all its rows; rows come back, smallest id first, in the answers.
 """
@@ -21,98 +24,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, shuffle_partitions
 
-#: Vectors of a shard, links of a vector, rounds of joins, and nodes that a search keeps in view.
-SHARD = 4096
-LINKS = 20
-ROUNDS = 4
-VIEW = 120
 EVERY = 20
 NEAREST = 20
+#: Links of a vector, members of a list that meet in a round, most rounds, share of new links at which they end.
+LINKS = 48
+MEMBERS = 64
+ROUNDS = 5
+SETTLED = 0.03
+#: Random orders that the graph starts from, vectors of a run in them, links that a run gives each.
+ORDERS = 4
+RUN = 128
+EACH = 16
+_SIGNS = 30
+#: Nodes that a step expands, and the best in sight that it chooses from: a search ends when all of those are expanded, or
+#: after STEPS. Nodes kept in view, and vectors of the largest norms that all searches look at.
+EXPAND = 12
+WIDTH = 32
+STEPS = 8
+VIEW = 48
+TOPS = 64
 _BLOCK = 256
-_ENTRIES = 24
-#: One node in so many is a pivot.
-_PIVOT = 8
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row, best first; ids below 0 are empty."""
-    scores = np.where(ids < 0, -np.inf, scores)
-    if scores.shape[1] > k:
-        part = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        scores, ids = np.take_along_axis(scores, part, 1), np.take_along_axis(ids, part, 1)
-    order = np.argsort(-scores, axis=1, kind="stable")
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-
-
-def best_links(vectors: np.ndarray, nodes: np.ndarray, offered: list[np.ndarray], k: int) -> np.ndarray:
-    """For each of ``nodes`` the k nearest of the ids offered to it; -1 where fewer."""
-    out = np.full((len(nodes), k), -1, np.int32)
-    for at in range(0, len(nodes), 64):
-        some = [np.unique(o) for o in offered[at : at + 64]]
-        ids = np.full((len(some), max(1, *(len(o) for o in some))) if some else (0, 1), -1, np.int32)
-        for i, o in enumerate(some):
-            ids[i, : len(o)] = o
-        own = nodes[at : at + 64]
-        ids[ids == own[:, None]] = -1
-        scores = np.matmul(vectors[ids], vectors[own][:, :, None])[:, :, 0]
-        got, who = _best(scores, ids, k)
-        out[at : at + 64, : who.shape[1]] = np.where(np.isfinite(got), who, -1)
-    return out
-
-
-def levelled(vectors: np.ndarray, most: float) -> np.ndarray:
-    """Vectors with one more component, such that all have the norm ``most``."""
-    v = vectors.astype(np.float32)
-    rest = np.sqrt(np.maximum(0, most * most - (v.astype(np.float64) ** 2).sum(axis=1)))
-    return np.concatenate([v, rest[:, None].astype(np.float32)], axis=1)
-
-
-def greedy_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entries: np.ndarray, k: int, view: int = VIEW) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, nodes) of the k best found for each query: best-first from ``entries`` (a row of nodes for each query),
-    until none of the ``view`` best in sight is left to expand. Scores are float64 on the vectors given."""
-    n, q = len(vectors), len(queries)
-    seen = np.zeros((q, n + 1), bool)
-    rows = np.arange(q)[:, None]
-    v32, q32 = vectors.astype(np.float32, copy=False), queries.astype(np.float32, copy=False)
-
-    def scored(ids: np.ndarray) -> np.ndarray:
-        return np.where(ids < n, np.matmul(v32[np.minimum(ids, n - 1)], q32[:, :, None])[:, :, 0], -np.inf)
-
-    def fresh(ids: np.ndarray) -> np.ndarray:
-        ids = np.sort(np.where(ids < 0, n, ids), axis=1)
-        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = n
-        ids[seen[rows, ids]] = n
-        seen[rows, ids] = True
-        seen[:, n] = False
-        return ids
-
-    ids = fresh(entries)
-    scores = scored(ids)
-    open_ = np.isfinite(scores)
-    while open_.any():
-        rank = np.where(open_, scores, -np.inf)
-        m = min(4, rank.shape[1])
-        take = np.argpartition(-rank, m - 1, axis=1)[:, :m]
-        chosen = np.where(np.take_along_axis(open_, take, 1), np.take_along_axis(ids, take, 1), n)
-        np.put_along_axis(open_, take, False, 1)
-        step = np.where((chosen < n)[:, :, None], links[np.minimum(chosen, n - 1)], -1).reshape(q, -1)
-        more = fresh(step)
-        ids, scores, open_ = np.concatenate([ids, more], 1), np.concatenate([scores, scored(more)], 1), np.concatenate([open_, more < n], 1)
-        if ids.shape[1] > view:
-            keep = np.argpartition(-scores, view - 1, axis=1)[:, :view]
-            ids, scores, open_ = (np.take_along_axis(x, keep, 1) for x in (ids, scores, open_))
-    exact = np.einsum("qkd,qd->qk", vectors[np.minimum(ids, n - 1)].astype(np.float64), queries.astype(np.float64))
-    exact = np.where(ids < n, exact, -np.inf)
-    order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(exact, order, 1), np.where(np.take_along_axis(ids, order, 1) < n, np.take_along_axis(ids, order, 1), -1)
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = flat.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(flat), -1)
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -122,148 +55,247 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite & F.exists("embedding", lambda x: x != 0))
-    return v.select("vec_id", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(7), "embedding").alias("k2"), "embedding")
+    # zero has two signs and one hash
+    v = v.withColumn("plain", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0).cast(kind[6:-1])).otherwise(x)))
+    return v.select("vec_id", F.xxhash64("plain").alias("k1"), F.xxhash64(F.lit(7), "plain").alias("k2"), "embedding")
+
+
+# ---- codes ---------------------------------------------------------------------------------------------------------
+
+
+def encode(vectors: np.ndarray, most: float) -> np.ndarray:
+    """Rows of bytes: scale and levelling component as float32, then a signed byte for each component."""
+    v = vectors.astype(np.float64)
+    scale = np.abs(v).max(axis=1, keepdims=True) / 127
+    extra = np.sqrt(np.maximum(0, most * most - (v * v).sum(axis=1, keepdims=True)))
+    head = np.concatenate([scale, extra], axis=1).astype(np.float32)
+    return np.concatenate([head.view(np.uint8).reshape(len(v), 8), np.rint(v / scale).astype(np.int8).view(np.uint8)], axis=1)
+
+
+def decode(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors float32, levelling components) of rows made by :func:`encode`."""
+    head = np.ascontiguousarray(codes[:, :8]).view(np.float32)
+    return codes[:, 8:].view(np.int8) * head[:, :1], head[:, 1]
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """A binary column whose values are of one length, as rows of bytes."""
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]].reshape(len(column), -1)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    width = rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _by_dim(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches of rows of one length of vector (column ``dim``)."""
+    for b in batches:
+        dims = b.column("dim").to_numpy()
+        for d in np.unique(dims).tolist():
+            yield d, b if (dims == d).all() else b.filter(pa.array(dims == d))
 
 
-def nodes(v: DataFrame, shard: int = SHARD, most: int = NEAREST + 1) -> DataFrame:
-    """(shard, nid int, k1, k2, ids, embedding): a row for each distinct vector; ``ids`` its ``most`` smallest ids."""
+def _coded(most: float, orders: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, b in _by_dim(batches):
+            v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            keys = []
+            for t in range(orders):
+                sides = v @ np.random.default_rng((t, d)).normal(size=(d, _SIGNS)) > 0
+                keys.append(sides @ (1 << np.arange(_SIGNS, dtype=np.int64)))
+            flat = pa.array(np.stack(keys, axis=1).ravel())
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * np.int32(orders)), flat)
+            cols = {c: b.column(c) for c in b.schema.names} | {"code": _binary(encode(v, most)), "keys": keys}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return run
+
+
+def nodes(v: DataFrame, most_ids: int = NEAREST + 1, orders: int = ORDERS) -> DataFrame:
+    """(nid, dim, k1, k2, ids, embedding, norm, code, keys): a row for each distinct vector; ``ids`` its smallest ids."""
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
-    ids = v.select("k1", "k2", "vec_id").distinct().withColumn("n", place).where(F.col("n") <= most)
+    ids = v.select("k1", "k2", "vec_id").distinct().withColumn("n", place).where(F.col("n") <= most_ids)
     ids = ids.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     one = v.groupBy("k1", "k2").agg(F.first("embedding").alias("embedding")).join(ids, ["k1", "k2"])
-    one = materialise(one, "vectors")
-    shards = max(1, -(-one.count() // shard))
-    # vectors of different lengths never meet
-    one = one.withColumn("shard", F.size("embedding").cast("long") * shards + F.pmod("k1", F.lit(shards)))
-    one = one.withColumn("nid", F.row_number().over(Window.partitionBy("shard").orderBy("k1", "k2")) - 1)
-    out = materialise(one.select("shard", "nid", "k1", "k2", "ids", "embedding"), "nodes")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    one = materialise(one.select(F.monotonically_increasing_id().alias("nid"), F.size("embedding").alias("dim"), "k1", "k2", "ids", "embedding", norm.alias("norm")), "vectors")
+    most = one.agg(F.max("norm")).first()[0] or 0.0
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in one.schema.fields)
+    out = materialise(one.mapInArrow(_coded(most, orders), f"{shape}, code binary, keys array<bigint>"), "nodes")
     discard(one)
     return out
 
 
-def _start(links: int, most: float):
-    def run(t: pa.Table) -> pa.Table:
-        v, nid = levelled(_matrix(t["embedding"]), most), t["nid"].to_numpy()
-        at = np.argsort(nid)
-        rng = np.random.default_rng(len(nid))
-        got = best_links(v[at], np.arange(len(at)), list(rng.integers(0, len(at), (len(at), links), dtype=np.int64)), links)
-        return pa.table({"shard": t["shard"].take(pa.array(at)), "nid": pa.array(nid[at], pa.int32()), "links": pa.array([row[row >= 0] for row in got], pa.list_(pa.int32()))})
+# ---- graph ---------------------------------------------------------------------------------------------------------
+
+_OFFER = "u long, c long, score float"
 
-    return run
 
+def _offers(u: np.ndarray, c: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(c, pa.int64()), pa.array(score, pa.float32())], names=["u", "c", "score"])
 
-def _better(links: int, most: float):
-    def run(offers: pa.Table, t: pa.Table) -> pa.Table:
-        nid = t["nid"].to_numpy()
-        v = levelled(_matrix(t["embedding"]), most)[np.argsort(nid)]
-        own = offers["nid"].to_numpy().astype(np.int64)
-        flat = offers["offered"].combine_chunks()
-        values, offs = flat.values.to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
-        got = best_links(v, own, [values[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)], links)
-        return pa.table({"shard": offers["shard"], "nid": offers["nid"], "links": pa.array([row[row >= 0] for row in got], pa.list_(pa.int32()))})
+
+def _runs(run_length: int, each: int):
+    """Links between the rows of every run of sorted rows (turn, dim, nid, code)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, b in _by_dim(batches):
+            turn, nid = b.column("turn").to_numpy(), b.column("nid").to_numpy()
+            v, extra = decode(_rows(b.column("code")))
+            for t in np.unique(turn).tolist():
+                of = np.flatnonzero(turn == t)
+                for at in range(0, len(of), run_length):
+                    g = of[at : at + run_length]
+                    k = min(each, len(g) - 1)
+                    if k < 1:
+                        continue
+                    s = v[g] @ v[g].T + np.outer(extra[g], extra[g])
+                    np.fill_diagonal(s, -np.inf)
+                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    yield _offers(np.repeat(nid[g], k), nid[g][top].ravel(), np.take_along_axis(s, top, 1).ravel())
 
     return run
 
 
-def _around(graph: DataFrame, links: int) -> DataFrame:
-    """(shard, nid, links, around): links with half as many of those that point back, by a hash. A node has no more of
-    them than its shard has nodes."""
-    back = graph.select("shard", F.explode("links").alias("to"), "nid").groupBy("shard", "to").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("nid", "to").alias("r"), "nid"))).alias("b"))
-    back = back.select(F.col("shard").alias("s"), "to", F.transform(F.slice("b", 1, links // 2), lambda x: x["nid"]).alias("back"))
-    both = graph.join(back, (F.col("shard") == F.col("s")) & (F.col("nid") == F.col("to")), "left")
-    return both.select("shard", "nid", "links", F.array_distinct(F.concat("links", F.coalesce("back", F.array().cast("array<int>")))).alias("around"))
-
-
-def neighbour_graph(points: DataFrame, links: int = LINKS, rounds: int = ROUNDS) -> DataFrame:
-    """(shard, nid, links array<int>): NN-descent over ``points`` of :func:`nodes`."""
-    most = points.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()[0] or 0.0
-    shape = "shard long, nid int, links array<int>"
-    graph = materialise(points.select("shard", "nid", "embedding").groupBy("shard").applyInArrow(_start(links, most), shape), "graph")
-    for _ in range(rounds):
-        near = _around(graph, links)
-        step = near.select("shard", "nid", F.explode("around").alias("via"))
-        over = graph.select(F.col("shard").alias("s"), F.col("nid").alias("v"), F.col("links").alias("next"))
-        hop = step.join(over, (F.col("shard") == F.col("s")) & (F.col("via") == F.col("v"))).groupBy("shard", "nid").agg(F.flatten(F.collect_list(F.concat(F.array("via"), "next"))).alias("offered"))
-        new = hop.groupBy("shard").cogroup(points.select("shard", "nid", "embedding").groupBy("shard")).applyInArrow(_better(links, most), shape)
-        new = materialise(new, "graph")
-        discard(graph)
-        graph = new
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Offers (u, c, score) between the members of each list, where one of both is new and c beats u's worst link."""
+    for d, whole in _by_dim(batches):
+        for at in range(0, len(whole), _BLOCK):
+            lists = whole.column("members").slice(at, _BLOCK)
+            x, new, worst, code = lists.flatten().flatten()
+            sizes = lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((~new.to_numpy(zero_copy_only=False), x.to_numpy(), row))
+            ids, own = x.to_numpy()[order], row[order]
+            # a link in both directions stands twice; the new one first
+            keep = np.concatenate([[True], (ids[1:] != ids[:-1]) | (own[1:] != own[:-1])]) if len(ids) else np.zeros(0, bool)
+            order, ids, own = order[keep], ids[keep], own[keep]
+            sizes = np.bincount(own, minlength=len(sizes))
+            spot = np.arange(len(ids)) - (np.cumsum(sizes) - sizes)[own]
+            shape = (len(sizes), int(sizes.max(initial=0)))
+            v, extra = decode(_rows(code)[order]) if len(order) else (np.zeros((0, d), np.float32), np.zeros(0, np.float32))
+            at_v, at_e, at_id = np.zeros((*shape, d), np.float32), np.zeros(shape, np.float32), np.full(shape, -1, np.int64)
+            at_new, at_worst = np.zeros(shape, bool), np.full(shape, np.inf, np.float32)
+            at_v[own, spot], at_e[own, spot], at_id[own, spot] = v, extra, ids
+            at_new[own, spot], at_worst[own, spot] = new.to_numpy(zero_copy_only=False)[order], worst.to_numpy()[order]
+            s = np.matmul(at_v, at_v.transpose(0, 2, 1)) + at_e[:, :, None] * at_e[:, None, :]
+            good = (s > at_worst[:, :, None]) & (at_new[:, :, None] | at_new[:, None, :]) & (at_id >= 0)[:, None, :]
+            good[:, np.arange(shape[1]), np.arange(shape[1])] = False
+            i, j, k = np.nonzero(good)
+            yield _offers(at_id[i, j], at_id[i, k], s[i, j, k])
+
+
+def _kept(graph: DataFrame | None, offers: DataFrame, links: int) -> DataFrame:
+    """(u, c, score, new): the best ``links`` of each u among its links and what it was offered."""
+    all_ = offers.select("u", "c", "score", F.lit(True).alias("new"))
+    if graph is not None:
+        all_ = graph.select("u", "c", "score", F.lit(False).alias("new")).union(all_)
+    all_ = all_.groupBy("u", "c").agg(F.max("score").alias("score"), F.min("new").alias("new"))
+    place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("score"), "c"))
+    return all_.withColumn("n", place).where(F.col("n") <= links).drop("n")
+
+
+def neighbour_graph(points: DataFrame, links: int = LINKS, members: int = MEMBERS, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+    """(u, c, score, new): NN-descent over ``points`` of :func:`nodes`; a row for each link from u to c."""
+    n = points.count()
+    orders = points.select(F.posexplode("keys").alias("turn", "key"), "dim", "nid", "code")
+    parts = max(1, min(shuffle_partitions(points.sparkSession), n * ORDERS // (8 * RUN)))
+    runs = orders.repartitionByRange(parts, "turn", "dim", "key", "nid").sortWithinPartitions("turn", "dim", "key", "nid")
+    offers = materialise(runs.select("turn", "dim", "nid", "code").mapInArrow(_runs(RUN, EACH), _OFFER), "offers")
+    graph = materialise(_kept(None, offers, links), "graph")
+    for turn in range(rounds):
+        worst = graph.groupBy("u").agg(F.min("score").alias("worst"), F.count("*").alias("n")).select("u", F.when(F.col("n") >= links, F.col("worst")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
+        state = materialise(points.select("nid", "dim", "code").join(worst, F.col("nid") == F.col("u"), "left").select("nid", "dim", "code", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst")), "state")
+        both = graph.select(F.col("u").alias("v"), F.col("c").alias("x"), "new").union(graph.select(F.col("c").alias("v"), F.col("u").alias("x"), "new"))
+        place = F.dense_rank().over(Window.partitionBy("v").orderBy(F.desc("new"), F.xxhash64(F.lit(turn), "v", "x"), "x"))
+        lists = both.withColumn("n", place).where(F.col("n") <= members).withColumn("any", F.max("new").over(Window.partitionBy("v"))).where("any").select("v", "x", "new")
+        met = lists.join(state, F.col("x") == F.col("nid")).groupBy("v").agg(F.first("dim").alias("dim"), F.collect_list(F.struct("x", "new", "worst", "code")).alias("members"))
+        discard(offers)
+        offers = materialise(met.select("dim", "members").mapInArrow(_meet, _OFFER), "offers")
+        better = materialise(_kept(graph, offers, links), "graph")
+        discard(graph, state)
+        graph = better
+        if graph.where("new").count() < settled * n * links:
+            break
+    discard(offers)
     return graph
 
 
-def pivots(adjacent: np.ndarray, one_in: int = _PIVOT) -> np.ndarray:
-    """Random nodes, one in so many, and as many more as it takes to reach every node from them along the links."""
-    n = len(adjacent)
-    out = np.random.default_rng(n).permutation(n)[: max(_ENTRIES, -(-n // one_in))].tolist()
-    reached = np.zeros(n, bool)
-    edge = np.array(out)
-    while True:
-        while len(edge):
-            reached[edge] = True
-            edge = np.unique(adjacent[edge])
-            edge = edge[edge >= 0]
-            edge = edge[~reached[edge]]
-        left = np.flatnonzero(~reached)
-        if not len(left):
-            return np.array(out, np.int32)
-        out.append(int(left[0]))
-        edge = left[:1]
-
-
-def _pack_index(links: int):
-    def run(near: pa.Table, t: pa.Table) -> pa.Table:
-        at = np.argsort(t["nid"].to_numpy())
-        v = _matrix(t["embedding"])[at]
-        adjacent = np.full((len(at), links + links // 2), -1, np.int32)
-        for n, row in zip(near["nid"].to_pylist(), near["around"].to_pylist(), strict=True):
-            adjacent[n, : len(row)] = row
-        ids = t["ids"].combine_chunks().take(pa.array(at)).to_pylist()
-        return pa.table({"shard": t["shard"][:1], "kind": pa.array([v.dtype.str]), "dim": pa.array([v.shape[1]], pa.int32()), "vectors": pa.array([v.tobytes()], pa.binary()), "adjacent": pa.array([adjacent.tobytes()], pa.binary()), "pivots": pa.array([pivots(adjacent).tobytes()], pa.binary()), "ids": pa.array([ids], pa.list_(pa.list_(pa.int64())))})
+def around(graph: DataFrame, links: int = LINKS) -> DataFrame:
+    """(nid, around array<bigint>): the nearest ``links`` of those that a node links to and of those that link to it."""
+    both = graph.select(F.col("u").alias("v"), F.col("c").alias("x"), "score").union(graph.select(F.col("c").alias("v"), F.col("u").alias("x"), "score"))
+    place = F.dense_rank().over(Window.partitionBy("v").orderBy(F.desc("score"), "x"))
+    both = both.withColumn("n", place).where(F.col("n") <= links)
+    return both.groupBy(F.col("v").alias("nid")).agg(F.collect_set("x").alias("around"))
 
-    return run
 
+# ---- search --------------------------------------------------------------------------------------------------------
 
-def build_index(points: DataFrame, links: int = LINKS, rounds: int = ROUNDS) -> DataFrame:
-    """A row for each shard: (shard, kind, dim, vectors binary, adjacent binary, pivots binary, ids)."""
-    near = _around(neighbour_graph(points, links, rounds), links).select("shard", "nid", "around")
-    packed = near.groupBy("shard").cogroup(points.select("shard", "nid", "ids", "embedding").groupBy("shard")).applyInArrow(_pack_index(links), "shard long, kind string, dim int, vectors binary, adjacent binary, pivots binary, ids array<array<bigint>>")
-    return materialise(packed, "index")
+_POOL = "q long, dim int, query array<double>, seen array<bigint>, view array<struct<c:bigint,score:float,open:boolean>>"
 
 
-def _pack_queries(t: pa.Table) -> pa.Table:
-    v = _matrix(t["embedding"])
-    longs = {c: pa.array([t[c].to_numpy().astype("<i8").tobytes()], pa.binary()) for c in ("k1", "k2", "shard", "nid")}
-    return pa.table({"dim": pa.array([v.shape[1]], pa.int32()), "k1": longs["k1"], "k2": longs["k2"], "home": longs["shard"], "nid": longs["nid"], "queries": pa.array([v.tobytes()], pa.binary())})
+def _scored(view: int, tops: list[tuple[int, bytes]] | None):
+    """Pools with the nodes of ``got`` scored and seen; at the start also the nodes ``tops``."""
 
-
-def _search(k: int, links: int, view: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(len(b)):
-                row = {c: b.column(c)[r].as_py() for c in b.schema.names}
-                v = np.frombuffer(row["vectors"], row["kind"]).reshape(-1, row["dim"])
-                q = np.frombuffer(row["queries"], row["kind"]).reshape(-1, row["dim"])
-                adjacent = np.frombuffer(row["adjacent"], np.int32).reshape(len(v), -1)
-                k1, k2, home, nid = (np.frombuffer(row[c], "<i8") for c in ("k1", "k2", "home", "nid"))
-                coarse = np.frombuffer(row["pivots"], np.int32)
-                near = q.astype(np.float32, copy=False) @ v[coarse].astype(np.float32, copy=False).T
-                entries = _best(near, np.broadcast_to(coarse, near.shape), _ENTRIES)[1].astype(np.int64)
-                here = home == row["shard"]
-                own = np.where(here, nid, entries[:, 0])
-                entries = np.concatenate([entries, own[:, None]], axis=1)
-                scores, found = greedy_search(v, adjacent, q, entries, k, max(view, k))
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for i in range(len(q)):
-                    rows = sorted((-s, x) for s, n in zip(scores[i].tolist(), found[i].tolist(), strict=True) if n >= 0 for x in row["ids"][n])[:k]
-                    for s, x in rows:
-                        for c, value in zip(out, (k1[i], k2[i], -s, x), strict=True):
-                            c.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())], names=["k1", "k2", "score", "vec_id"])
+        for d, b in _by_dim(batches):
+            cols = {c: b.column(c) for c in b.schema.names}
+            head = [(n, c) for n, c in tops or () if len(c) == d + 8]
+            head_ids = np.array([n for n, _ in head], np.int64)
+            head_v = decode(np.frombuffer(b"".join(c for _, c in head), np.uint8).reshape(len(head), -1))[0] if head else np.zeros((0, d), np.float32)
+            seen, views = [], []
+            own = cols["q"].to_numpy()
+            queries = cols["query"].flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float32)
+            for i in range(len(b)):
+                ids, v = np.zeros(0, np.int64), np.zeros((0, d), np.float32)
+                got = cols["got"][i].values
+                if got is not None and len(got):
+                    c, code = got.flatten()
+                    ids, v = c.to_numpy(), decode(_rows(code))[0]
+                if len(head_ids):
+                    more = ~np.isin(head_ids, np.append(ids, own[i]))
+                    ids, v = np.concatenate([ids, head_ids[more]]), np.concatenate([v, head_v[more]])
+                score = v @ queries[i]
+                before = cols["view"][i].as_py() or []
+                seen.append(np.concatenate([np.array(cols["seen"][i].as_py() or [], np.int64), ids]))
+                every = before + [{"c": a, "score": s, "open": True} for a, s in zip(ids.tolist(), score.tolist(), strict=True)]
+                views.append(sorted(every, key=lambda x: (-x["score"], x["c"]))[:view])
+            cols["seen"], cols["view"] = pa.array(seen, pa.list_(pa.int64())), pa.array(views, pa.list_(pa.struct([("c", pa.int64()), ("score", pa.float32()), ("open", pa.bool_())])))
+            names = [c for c in cols if c != "got"]
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, links: int = LINKS, rounds: int = ROUNDS, view: int = VIEW) -> DataFrame:
+def search(points: DataFrame, near: DataFrame, queries: DataFrame, expand: int = EXPAND, width: int = WIDTH, steps: int = STEPS, view: int = VIEW, tops: int = TOPS) -> DataFrame:
+    """(q, dim, query, seen, view): greedy search for the nodes ``queries`` (q, dim, query) from their own links.
+
+    ``seen`` has every node that was scored for q, q itself aside; ``view`` the best of them by their codes.
+    """
+    codes = points.select("nid", "code")
+    first = [(r["nid"], bytes(r["code"])) for r in points.select("nid", "code", "norm").orderBy(F.desc("norm"), "nid").limit(tops).collect()]
+    chosen = f"slice(transform(filter(slice(view, 1, {width}), x -> x.open), x -> x.c), 1, {expand})"
+    nothing = F.expr("CAST(array() AS array<struct<c:bigint,score:float,open:boolean>>)")
+    pool = queries.select("q", "dim", "query", F.expr("CAST(array() AS array<bigint>)").alias("seen"), nothing.alias("view"))
+    for step in range(steps + 1):
+        via = F.array("q") if step == 0 else F.expr(chosen)
+        hop = pool.select("q", F.explode(via).alias("via")).join(near, F.col("via") == F.col("nid")).groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("offered"))
+        fresh = pool.select("q", "seen").join(hop, "q").select("q", F.explode(F.array_except("offered", F.concat("seen", F.array("q")))).alias("c"))
+        fresh = materialise(fresh, "fresh")
+        got = fresh.join(codes, F.col("c") == F.col("nid")).groupBy("q").agg(F.collect_list(F.struct("c", "code")).alias("got"))
+        spent = F.expr("transform(view, x -> named_struct('c', x.c, 'score', x.score, 'open', x.open AND NOT array_contains(chosen, x.c)))")
+        rows = pool.withColumn("chosen", F.expr(chosen)).withColumn("view", spent).drop("chosen").join(got, "q", "left")
+        done = materialise(rows.mapInArrow(_scored(view, first if step == 0 else None), _POOL), "pool")
+        discard(fresh, pool)
+        pool = done
+        if pool.where(F.size(F.expr(chosen)) > 0).isEmpty():
+            break
+    return pool
+
+
+def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding", links: int = LINKS, members: int = MEMBERS, rounds: int = ROUNDS, expand: int = EXPAND, width: int = WIDTH, steps: int = STEPS, view: int = VIEW) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): for each row whose id is divisible by ``every`` the ``k``
     rows of the largest inner product found among all others, best first, ties to the smaller id.
 
@@ -272,19 +304,20 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY, id_col: st
     were found come back; an empty table gives no rows. Extra columns are ignored.
     """
     v = materialise(valid(vectors, id_col, vector_col), "valid")
-    points = nodes(v, shard, k + 1)
-    index = build_index(points, links, rounds)
+    points = nodes(v, k + 1)
+    graph = neighbour_graph(points, max(links, k + 1), max(members, k + 1), rounds)
+    near = materialise(around(graph, links), "around")
     asked = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "k1", "k2").distinct()
-    queries = materialise(points.join(asked.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("shard", "nid", "k1", "k2", "embedding"), "queries")
-    blocks = max(1, -(-queries.count() // _BLOCK))
-    dealt = queries.withColumn("dim", F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("k2"), F.lit(blocks)))
-    packed = dealt.groupBy("dim", "block").applyInArrow(_pack_queries, "dim int, k1 binary, k2 binary, home binary, nid binary, queries binary")
-    shards = max(1, -(-points.count() // shard))
-    spread = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("i")).select((F.col("dim").cast("long") * shards + F.col("i")).alias("to"), "k1", "k2", "home", "nid", "queries")
-    met = index.join(spread, F.col("shard") == F.col("to")).drop("to")
-    found = met.mapInArrow(_search(k + 1, links, view), "k1 long, k2 long, score double, vec_id long")
-    place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id"))
-    top = found.withColumn("n", place).where(F.col("n") <= k + 1).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("top"))
+    asked = materialise(asked.join(points.select("k1", "k2", "nid"), ["k1", "k2"]).select("query_id", F.col("nid").alias("q")), "asked")
+    queries = materialise(points.join(asked.select("q").distinct(), F.col("nid") == F.col("q"), "left_semi").select(F.col("nid").alias("q"), "dim", F.col("embedding").cast("array<double>").alias("query")), "queries")
+    found = search(points, near, queries, expand, max(width, k + 1), steps, max(view, 2 * k + 8))
+    pairs = found.select("q", F.explode(F.concat(F.array("q"), F.transform("view", lambda x: x["c"]))).alias("c"))
+    rows = pairs.join(points.select(F.col("nid").alias("c"), "ids", "embedding"), "c").join(queries.select("q", "query"), "q")
+    score = F.aggregate(F.zip_with("embedding", "query", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
+    rows = rows.select("q", score.alias("score"), F.explode("ids").alias("vec_id"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    top = rows.withColumn("n", place).where(F.col("n") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("top"))
     top = materialise(top, "answers")
-    out = asked.join(top, ["k1", "k2"]).select("query_id", F.posexplode(F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("p", "x"))
+    discard(v, points, graph, near, queries, found)
+    out = asked.join(top, "q").select("query_id", F.posexplode(F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("p", "x"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -119,7 +119,7 @@ def test_neighbours(spark):
     rows = [(i, v[i].tolist(), "x") for i in range(n)] + [(5000, None, ""), (5020, [0.0] * 16, ""), (5040, [float("nan")] * 16, ""), (5060, [None] * 16, ""), (5080, [1.0, 2.0], ""), (None, v[0].tolist(), ""), (20, v[20].tolist(), "again")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     got = {}
-    for r in ann.nearest(df, shard=600).collect():
+    for r in ann.nearest(df).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     s = v.astype(np.float64) @ v.astype(np.float64).T
     hits = 0
