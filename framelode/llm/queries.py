@@ -50,22 +50,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_lines(_table(spark, sf_dir, "documents")).drop("h")
 
 
-def _substring_dedup(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
-    done = substring.remove_repeats(_table(spark, sf_dir, "documents"), unit=unit)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines and paragraphs."""
+    done = substring.remove_repeats(_table(spark, sf_dir, "documents"))
     spans = F.concat_ws(",", F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
     return done.select("doc_id", "n_units", "n_removed", spans.alias("removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences only, as its SQL states."""
-    return _substring_dedup(spark, sf_dir, "sentence")
-
-
-def op9_line_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole lines and paragraphs, and sentences inside them."""
-    return _substring_dedup(spark, sf_dir, "all")
-
-
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_edited(_table(spark, sf_dir, "documents"))
 
@@ -82,7 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_suffix_array_dedup,
         op8_line_dedup,
         op9_substring_dedup,
-        op9_line_paragraph_dedup,
         op10_document_fingerprints,
     )
 }

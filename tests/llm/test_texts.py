@@ -59,30 +59,6 @@ def test_removed_lines_and_columns(docs, rows):
     assert texts[18 * 3] == "Same short line." and 19 * 3 not in texts
 
 
-def test_substrings(spark, docs):
-    order = ranked(spark, docs)
-    order = [r for r in order if r[0] is not None] + [r for r in order if r[0] is None]
-    seen, want = set(), defaultdict(list)
-    for i, (_, _, t) in enumerate(order):
-        for s, e in substring.units(t or ""):
-            w = substring.normalise((t or "")[s:e])
-            if len(w) >= substring.MIN_WORDS:
-                if " ".join(w) in seen:
-                    want[i].append((s, e))
-                seen.add(" ".join(w))
-    got = sorted(((r.doc_id, r.n_removed, r.kept) for r in substring.remove_repeats(docs).distinct().collect()), key=str)
-    expected = sorted({(r[0], len(want[i]), None if r[2] is None else substring.cut(r[2], want[i])) for i, r in enumerate(order)}, key=str)
-    assert [g for g in got] == expected and sum(map(len, want.values())) > 10
-
-
-def test_units():
-    t = "First one here. Second?  Third\n\n  Fourth line… end"
-    assert [t[a:b] for a, b in substring.units(t)] == ["First one here.", "Second?", "Third", "Fourth line…", "end"]
-    assert [t[a:b] for a, b in substring.units(t, "line")] == ["First one here. Second?  Third", "Fourth line… end"]
-    assert [t[a:b] for a, b in substring.units(t, "paragraph")] == ["First one here. Second?  Third", "Fourth line… end"]
-    assert substring.cut(t, [(16, 23)]) == "First one here. Third\n\n  Fourth line… end"
-
-
 def removed(texts, length=200):
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
