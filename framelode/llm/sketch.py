@@ -2,8 +2,10 @@
 
 A sketch retains every hash of a five-word shingle below a fixed fraction of the hash range, so its size follows the
 document and sketches of any two documents, however unequal, sample the same shingles: containment is read off the
-shared hashes, and the sketch of a union is the union of sketches. A document whose shingles all lie above the
-threshold keeps its smallest hash, which makes no difference to merging.
+shared hashes, and the sketch of a union is the union of sketches. The fraction is one half, so that a text of 20 words
+keeps eight hashes or so, and all of those stand in the sketch of any text that contains it. A text none of whose
+shingles (a few at most) lies below the threshold keeps them all, marked as such: it is compared with its equals, and is
+no evidence against others.
 """
 
 from __future__ import annotations
@@ -20,15 +22,15 @@ from pyspark.sql import functions as F
 from .common import keyed, shuffle_partitions
 
 WORDS = 5
-#: One in so many hashes is retained.
-SCALE = 16
+#: One in so many hashes is retained (a power of two).
+SCALE = 2
 _LAST = (1 << 63) - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def sketch(text: str | None, words: int = WORDS, scale: int = SCALE) -> np.ndarray:
-    """Sorted distinct retained hashes. Words are split at ASCII white space, A-Z lowered; none: an empty sketch."""
+def hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the shingles. Words are split at ASCII white space, A-Z lowered; fewer words are one shingle."""
     tokens = text.encode().lower().split() if text else []
     if not tokens:
         return np.empty(0, np.uint64)
@@ -40,31 +42,42 @@ def sketch(text: str | None, words: int = WORDS, scale: int = SCALE) -> np.ndarr
         h = h * _P + w[i : len(w) - k + 1 + i]
     h = (h ^ (h >> np.uint64(30))) * _M1
     h = (h ^ (h >> np.uint64(27))) * _M2
-    h ^= h >> np.uint64(31)
-    low = h[h < np.uint64((1 << 64) // scale)]
-    return np.unique(low) if len(low) else h.min(keepdims=True)
+    return h ^ (h >> np.uint64(31))
+
+
+def sketch(text: str | None, words: int = WORDS, scale: int = SCALE) -> np.ndarray:
+    """Sorted distinct retained hashes, 32 bits each: the first that the threshold leaves open. No words: none."""
+    h = hashes(text, words) >> np.uint64(32)
+    low = h[h < np.uint64((1 << 32) // scale)]
+    return np.unique(low if len(low) else h).astype(np.uint32)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller document's shingles that the other holds; two empty sketches are alike."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+def _low(s: np.ndarray, scale: int) -> np.ndarray:
+    return s[: np.searchsorted(s, (1 << 32) // scale)]
+
+
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+    """Estimated share of the smaller document's shingles that the other holds; two empty sketches are alike, an empty
+    one and another are not. Where one has hashes above the threshold only, 1.0 if the sketches are equal, else 0.0."""
+    la, lb = _low(a, scale), _low(b, scale)
+    if not len(la) or not len(lb):
+        return float(np.array_equal(a, b))
+    return len(np.intersect1d(la, lb, assume_unique=True)) / min(len(la), len(lb))
 
 
 def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """Sketch of two documents taken together (shingles that would span both aside)."""
     both = np.union1d(a, b)
-    low = both[both < np.uint64((1 << 64) // scale)]
-    return low if len(low) else both[:1]
+    low = _low(both, scale)
+    return low if len(low) else both
 
 
 def to_text(s: np.ndarray) -> str:
-    return s.astype(">u8").tobytes().hex()
+    return s.astype(">u4").tobytes().hex()
 
 
 def from_text(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), ">u8").astype(np.uint64)
+    return np.frombuffer(bytes.fromhex(s), ">u4").astype(np.uint32)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, scale: int = SCALE) -> DataFrame:
@@ -77,6 +90,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _bucket(at: list[int], o: F.Column) -> F.Column:
+    """Number of the sorted bounds ``at`` that are not above ``o``, by groups of bounds and then inside one group."""
+    if not at:
+        return F.lit(0)
+    size = max(1, int(len(at) ** 0.5))
+    groups = [at[i : i + size] for i in range(0, len(at), size)]
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    heads, all_ = longs([g[0] for g in groups[1:]] or [_LAST]), F.array(*[longs(g) for g in groups])
+    before = F.size(F.filter(heads, lambda b: (b <= o) & F.lit(len(groups) > 1)))
+    return (before * size + F.size(F.filter(F.element_at(all_, before + 1), lambda b: b <= o))).cast("int")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (bucket, turn, o, doc_id, text) such that, in the order of a partition, a document's next is the next row.
 
@@ -87,8 +112,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     t = keyed(docs, id_col, text_col).withColumn("o", F.coalesce("doc_id", F.lit(_LAST)))
     n = shuffle_partitions(spark)
     at = sorted({int(x) for x in t.select("o").stat.approxQuantile("o", [i / (4 * n) for i in range(1, 4 * n)], 1 / (16 * n))})
-    bounds = F.array(*[F.lit(x).cast("long") for x in at]) if at else F.expr("array(CAST(0 AS BIGINT))")
-    t = t.withColumn("bucket", F.size(F.filter(bounds, lambda b: b <= F.col("o"))))
+    t = t.withColumn("bucket", _bucket(at, F.col("o")))
     firsts = sorted((r["bucket"], r["o"]) for r in t.groupBy("bucket").agg(F.min("o").alias("o")).collect())
     before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
     entries = [x for b, o in firsts for x in (F.lit(b), F.struct(F.lit(o).cast("long").alias("o"), F.lit(before[b]).alias("to")))]
@@ -106,7 +130,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (doc_id, n_chars long, edited_sha256, fingerprint, edited_fingerprint string, near_edited, near_next double).
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document,
     in ascending doc_id (null last; rows of one id by hash of their text; after the last comes the first). Likeness
-    is the estimated containment of the smaller in the larger. A null text counts as empty; of a single row the
+    is the estimated containment of the smaller in the larger (1.0 of equal texts, of two without words too). A null text counts as empty; of a single row the
     next is itself; an empty table gives no rows; extra columns are ignored.
     """
 
@@ -124,7 +148,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     k = len(its) // 2
                     edited = its[: len(its) - k] + text[:k]
                     efp = sketch(edited, words, scale)
-                    out.append((its_id, len(its), hashlib.sha256(edited.encode()).hexdigest(), to_text(fp), to_text(efp), containment(fp, efp), containment(fp, here)))
+                    out.append((its_id, len(its), hashlib.sha256(edited.encode()).hexdigest(), to_text(fp), to_text(efp), containment(fp, efp, scale), containment(fp, here, scale)))
                 last = (bucket, turn, doc_id, text, here)
             if out:
                 cols = [list(c) for c in zip(*out, strict=True)]
