@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling. DataFrame operations only.
 
-Every source gets a target of words; a document's expected number of copies is target / source size, at most three.
-Whole copies are certain. The fraction left, p, is sampled: documents are ranked by their random odds u / (1 - u)
-divided by their inclusion odds p / (1 - p), and the lowest ranks are taken up to the words that are left of the
-target (the size of the sample is fixed in words, which is what targets are stated in). Where the last document
-leaves a gap, one document of the source is added or given back if that brings the source nearer to its target.
+Every source gets a target of words. A document's expected number of copies is proportional to its size, at most three,
+at the one rate at which a source's expected words are its target. Its whole copies are certain. The fraction left, p, is
+sampled: documents are ranked by their random odds u / (1 - u) divided by their inclusion odds p / (1 - p), and the
+lowest ranks of a source are taken, up to the words that its whole copies leave of the target (the size of the sample is
+fixed in words, which is what targets are stated in): the last is taken if that brings the source nearer.
 
 No source is ordered in one task: the rank is cut in 4096 x 4096 digits, sums by digit find the digit in which a
-source reaches its target, and only the documents of that digit are ordered.
+source reaches its target, and only the documents of that digit are ordered. Sources are numbered by ranges, and their
+rates found from sums by distinct size.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -45,24 +46,48 @@ def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     )
 
 
+def _numbered(by_source: DataFrame) -> DataFrame:
+    """``by_source`` with ``place``, the number of sources before each in code point order, null last."""
+    parts = shuffle_partitions(by_source.sparkSession)
+    ranged = materialise(by_source.repartitionByRange(parts, F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), "sources")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("source"))) - 1
+    # a row for each partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    return ranged.withColumn("inside", inside).join(F.broadcast(counts), "part").withColumn("place", F.col("before") + F.col("inside")).drop("part", "inside", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size, target, whole, p, rest) by source from rows (source, size).
+    """(source, source_size, target) by source from rows (source, size).
 
-    A target is least(most * size, level * weight) with the one level at which targets add up to all sizes: what
-    remains after excess over the caps has been reshared by weight until no source is above its cap.
+    A target is least(most * size, level * weight); the level is total / weights at first, and while sources are above
+    their caps they get the cap and what is left is shared by the weights of the others.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int"))
-    s = by_source.withColumn("w", weight.cast("long")).withColumn("cap", F.col("source_size") * most).withColumn("full_at", F.col("cap").cast("double") / F.col("w"))
-    up = Window.orderBy("full_at", F.asc_nulls_last("source"))
-    before, every = up.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(0))
-    s = s.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0))))
-    s = s.withColumn("at", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", F.col("source").isNull(), "source", "level"))).over(every)["level"])
-    s = s.withColumn("target", F.least(F.col("cap").cast("double"), F.col("at") * F.col("w")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    s = s.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.col("whole"))
-    return s.select("source", "source_size", "target", "whole", "p", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
+    by_source = _numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    s = materialise(by_source.select("source", "source_size", weight.cast("long").alias("w"), (F.col("source_size") * most).alias("cap")), "weights")
+    total = s.agg(F.sum("source_size")).first()[0] or 0
+    level, full = 0.0, -1
+    while True:
+        over = F.col("cap") <= F.lit(level) * F.col("w") if full >= 0 else F.lit(False)
+        r = s.agg(F.sum(F.when(over, F.col("cap")).otherwise(0)).alias("capped"), F.sum(F.when(over, 0).otherwise(F.col("w"))).alias("w"), F.count(F.when(over, 1)).alias("n")).first()
+        if r["n"] == full or not r["w"]:
+            break
+        full, level = r["n"], float(total - r["capped"]) / float(r["w"])
+    return s.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("w")).alias("target"))
+
+
+def rates(sizes: DataFrame, s: DataFrame, most: int = MOST) -> DataFrame:
+    """(sid, rate): expected copies a word, such that least(most, rate * size) copies of each make the target's words;
+    null where all documents get ``most``. The rows that are ordered are a source's distinct sizes."""
+    by_size = sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    by_size = by_size.join(s.select(F.col("source").alias("of"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))).where(F.col("target") < F.col("source_size") * most)
+    words = F.col("size").cast("double") * F.col("n")
+    longer = F.coalesce(F.sum(words).over(Window.partitionBy("sid").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    squares = F.sum(words * F.col("size")).over(Window.partitionBy("sid").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    by_size = by_size.withColumn("rate", (F.col("target") - most * longer) / squares)
+    # the longest documents that the rate leaves under the cap
+    return by_size.where(F.col("rate") * F.col("size") <= most).groupBy("sid").agg(F.max(F.struct("size", "rate"))["rate"].alias("rate"))
 
 
 def _boundary(rows: DataFrame, digit: str) -> DataFrame:
@@ -74,38 +99,38 @@ def _boundary(rows: DataFrame, digit: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """(doc_id, source, bits, rid, size, source_size, target, copies) with a row for each row of ``docs``.
+    """(doc_id, source, bits, rid, size, source_size, target, expected, whole, copies), a row for each row of ``docs``.
 
-    ``size`` is the words of the text, 0 for null or blank; documents of no words get copies like others and add
-    no words. Sources in code point order, null last, weigh ``weights`` in turn. Random numbers are made from
-    doc_id and text, so reruns agree; repeated rows are separate documents, told apart by ``rid``. An empty table
-    gives no rows; other columns are ignored.
+    ``size`` is the words of the text, 0 for null or blank; documents of no words add none, and get no copies unless
+    their whole source gets ``most``. Sources in code point order, null last, weigh ``weights`` in turn. Random numbers
+    are made from doc_id and text, so reruns agree; repeated rows are separate documents, told apart by ``rid``. An
+    empty table gives no rows; other columns are ignored.
     """
     sizes = materialise(_sizes(docs, id_col, text_col, source_col), "sizes")
-    s = targets(sizes, weights, most).withColumn("sid", F.xxhash64(F.col("source"), F.col("source").isNull()))
-    s = materialise(s, "targets")
-    few = s.count() <= FEW_SOURCES
-    small = F.broadcast if few else lambda df: df
+    s = materialise(targets(sizes, weights, most).withColumn("sid", F.xxhash64(F.col("source"), F.col("source").isNull())), "targets")
+    small = F.broadcast if s.count() <= FEW_SOURCES else lambda df: df
+    s = materialise(s.join(small(rates(sizes, s, most)), "sid", "left"), "rates")
     t = sizes.join(small(s.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    t = t.withColumn("expected", F.least(F.lit(float(most)), F.coalesce(F.col("rate") * F.col("size"), F.when(F.col("target") < F.col("source_size") * most, 0.0).otherwise(float(most)))))
+    t = t.withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.col("whole"))
+    certain = t.groupBy("sid").agg(F.sum(F.col("whole") * F.col("size")).alias("certain"))
+    t = t.join(small(certain), "sid").withColumn("rest", F.col("target") - F.col("certain"))
     u = (F.col("bits") + 0.5) / float(1 << 48)
     t = t.withColumn("odds", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
-    # at equal p the order of the odds is that of the bits they are made from
-    t = t.withColumn("d1", F.expr("CAST(shiftright(bits, 36) AS INT)")).withColumn("d2", F.expr("CAST(shiftright(bits, 24) & 4095 AS INT)")).withColumn("base", F.lit(0).cast("long"))
+    # odds / (1 + odds) orders as the odds do, and has digits
+    t = t.withColumn("rank", F.floor(F.col("odds") / (1 + F.col("odds")) * float(1 << 48)))
+    t = t.withColumn("d1", F.expr("CAST(least(shiftright(rank, 36), 4095) AS INT)")).withColumn("d2", F.expr("CAST(shiftright(rank, 24) & 4095 AS INT)")).withColumn("base", F.lit(0).cast("long"))
     b1 = _boundary(t.where("p > 0"), "d1")
     t = t.join(small(b1), "sid", "left")
     inside = t.where("p > 0 AND d1 = d1_at").withColumn("base", F.col("d1_base"))
     b2 = _boundary(inside, "d2")
     t = t.join(small(b2), "sid", "left")
     clear = t.where("NOT (p > 0 AND d1 <=> d1_at AND d2 <=> d2_at)").withColumn("extra", F.expr("p > 0 AND (d1_at IS NULL OR d1 < d1_at OR (d1 = d1_at AND (d2_at IS NULL OR d2 < d2_at)))"))
-    order = Window.partitionBy("sid").orderBy("odds", "bits", "doc_id", "rid")
+    order = Window.partitionBy("sid").orderBy("rank", "bits", "doc_id", "rid")
     near = t.where("p > 0 AND d1 <=> d1_at AND d2 <=> d2_at").withColumn("extra", 2 * (F.col("d2_base") + F.sum("size").over(order) - F.col("size")) + F.col("size") <= 2 * F.col("rest"))
-    keep = ["doc_id", "source", "rid", "bits", "size", "source_size", "target", "whole", "p", "rest", "sid", "extra"]
-    picked = materialise(clear.select(keep).union(near.select(keep)), "picked")
-    gap = picked.groupBy("sid").agg((F.first("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
-    turn = picked.where("p > 0").join(small(gap), "sid").withColumn("left", F.abs(F.col("gap") - F.when(F.col("extra"), -F.col("size")).otherwise(F.col("size"))))
-    turn = turn.where("left < abs(gap)").groupBy("sid").agg(F.min(F.struct("left", "bits", "doc_id", "rid")).alias("t")).select("sid", F.col("t.rid").alias("turned"))
-    out = picked.join(small(turn), "sid", "left").withColumn("extra", F.expr("CASE WHEN rid = turned THEN NOT extra ELSE extra END"))
-    return out.select("doc_id", "source", "bits", "rid", "size", "source_size", "target", (F.col("whole") + F.col("extra").cast("long")).alias("copies"))
+    keep = ["doc_id", "source", "bits", "rid", "size", "source_size", "target", "expected", "whole"]
+    picked = clear.select(*keep, "extra").union(near.select(*keep, "extra"))
+    return picked.select(*keep, (F.col("whole") + F.col("extra").cast("long")).alias("copies"))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -137,19 +162,24 @@ s3 AS (
   FROM s2 WINDOW up AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s4 AS (SELECT *, (SELECT level FROM s3 WHERE level <= full_at ORDER BY full_at, source NULLS LAST LIMIT 1) AS found FROM s3),
 s5 AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), found * w) AS target FROM s4),
-s6 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM s5),
-s7 AS (SELECT *, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS p, target - floor(rate) * source_size AS rest FROM s6),
+z0 AS (SELECT t.source, t.size, s5.target, CAST(count(*) AS DOUBLE) AS n FROM t JOIN s5 ON t.source IS NOT DISTINCT FROM s5.source WHERE t.size > 0 AND s5.target < s5.source_size * 3 GROUP BY t.source, t.size, s5.target),
+z1 AS (
+  SELECT source, size, (target - 3 * coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(size * n * size) OVER (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING) AS rate
+  FROM z0),
+z2 AS (SELECT source, max_by(rate, size) AS rate FROM z1 WHERE rate * size <= 3 GROUP BY source),
+s6 AS (SELECT s5.*, z2.rate FROM s5 LEFT JOIN z2 ON z2.source IS NOT DISTINCT FROM s5.source),
 r AS (
-  SELECT t.doc_id, t.size, t.bits, s7.*, ((bits + 0.5) / 281474976710656.0) AS u FROM t JOIN s7 ON t.source IS NOT DISTINCT FROM s7.source),
-o AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds, row_number() OVER (ORDER BY bits, doc_id) AS rid FROM r),
-c AS (SELECT *, p > 0 AND 2 * (sum(size) OVER (PARTITION BY source ORDER BY odds, bits, doc_id, rid) - size) + size <= 2 * rest AS extra FROM o),
-g AS (SELECT source AS gsource, any_value(rest) - sum(CASE WHEN extra THEN size ELSE 0 END) AS gap FROM c GROUP BY source),
-f AS (
-  SELECT rid FROM (
-    SELECT rid, row_number() OVER (PARTITION BY source ORDER BY abs(gap - CASE WHEN extra THEN -size ELSE size END), bits, doc_id, rid) AS k
-    FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.gsource
-    WHERE p > 0 AND abs(gap - CASE WHEN extra THEN -size ELSE size END) < abs(gap)) WHERE k = 1)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (whole + CASE WHEN (rid IN (SELECT rid FROM f)) <> extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  SELECT t.doc_id, t.size, t.bits, s6.source, source_size, target, ((bits + 0.5) / 281474976710656.0) AS u,
+         least(3.0, coalesce(rate * size, CASE WHEN target < source_size * 3 THEN 0.0 ELSE 3.0 END)) AS expected
+  FROM t JOIN s6 ON t.source IS NOT DISTINCT FROM s6.source),
+p AS (SELECT *, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expected) AS p FROM r),
+o AS (
+  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds, target - sum(whole * size) OVER (PARTITION BY source) AS rest
+  FROM p),
+c AS (
+  SELECT *, p > 0 AND 2 * (sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY floor(odds / (1 + odds) * 281474976710656.0), bits, doc_id NULLS FIRST) - size) + size <= 2 * rest AS extra
+  FROM o)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN extra THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """
