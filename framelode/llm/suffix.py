@@ -9,11 +9,14 @@ is filed is the *context* of an anchor: the windows from the first to the last t
 Copies of a context are counted before the shuffle and stand in the shard once. Where an anchor has one context, its
 windows repeat just as the context does; where it has several, their text goes into the shard's suffix array:
 suffixes are classified, leftmost-smaller (LMS) substrings are sorted by induction and named, the string of names is
-sorted the same way while its alphabet allows (below, by doubling ranks), and a second induction gives the array. Both
-inductions run bucket by bucket over whole numpy slices. Common prefixes, kept in text order (the permuted array) and
-cut at the length asked for, tell which windows repeat.
-
-An anchor with more than ``DENSE`` contexts is split over tasks: its windows are counted by 128-bit digest instead.
+sorted the same way, recursively, and a second induction gives the array. Over bytes both inductions run bucket by bucket
+over whole numpy slices, over the large alphabets of names place by place. Common prefixes are found in text order (the
+permuted array): compared only where the byte before differs from that of the neighbour, one less than the prefix before
+elsewhere. They part the array into strings that are equal for the length asked for.
+
+An anchor with more than ``DENSE`` contexts is subdivided: windows are filed under a band of the anchor's place in them
+and the bytes that all windows of that band have around the anchor, first in wide bands, then in narrower ones. In the
+last a window is filed under all of its bytes, so no shard holds many contexts of one key, however often it stands.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ from .common import keyed, materialise
 
 LENGTH = 200
 GRAM = 32
-#: Contexts of one anchor up to which they are put into one suffix array; bytes of text at which a shard's array is built.
-DENSE = 4096
+#: Contexts of one key up to which they are put into one suffix array; widths of bands by which keys with more are
+#: subdivided, the last with one window; bytes of text at which a shard's array is built.
+DENSE = 256
+BANDS = (24, 4, 1)
 SHARD = 4 << 20
 _BATCH = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -116,32 +121,45 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) ->
     return sa
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string over a large alphabet by doubling ranks."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        key = rank * (n + 2)
-        key[:-k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1 or k >= n:
-            return order.astype(np.int32)
-        k *= 2
+def _induce_names(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same over a large alphabet, place by place."""
+    n, ends = len(t), np.cumsum(sizes)
+    placed = lms[np.argsort(t[lms], kind="stable")]
+    of = t[placed]
+    counts = np.bincount(of, minlength=len(sizes))
+    slots = np.full(n, -1, np.int64)
+    slots[ends[of] - counts[of] + np.arange(len(of)) - (np.cumsum(counts) - counts)[of]] = placed
+    heads, tails = (ends - sizes).tolist(), (ends - 1).tolist()
+    sa, names, small = slots.tolist(), t.tolist(), s.tolist()
+    sa[heads[names[-1]]] = n - 1
+    heads[names[-1]] += 1
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not small[j]:
+            at = heads[names[j]]
+            sa[at] = j
+            heads[names[j]] = at + 1
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and small[j]:
+            at = tails[names[j]]
+            sa[at] = j
+            tails[names[j]] = at - 1
+    return np.array(sa, np.int32)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of small integers (uint8) by induced sorting."""
+    """Suffix array of a string of integers from 0 (bytes, or names of the level above) by induced sorting."""
     n = len(t)
     if n < 2:
         return np.arange(n, dtype=np.int32)
     k = int(t.max()) + 1
     sizes = np.bincount(t, minlength=k)
+    induce = _induce if k <= 256 else _induce_names
     s = _types(t)
     lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
-        first = _induce(t, s, lms, sizes)
+        first = induce(t, s, lms, sizes)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = first[is_lms[first]]
@@ -162,11 +180,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
             whole = np.zeros(n, np.int64)
             whole[order] = name
             reduced = whole[lms]
-            rank = suffix_array(reduced.astype(np.uint8)) if name[-1] < 256 else _doubled(reduced)
-            lms = lms[rank]
+            lms = lms[suffix_array(reduced)]
         else:
             lms = order
-    return _induce(t, s, lms, sizes)
+    return induce(t, s, lms, sizes)
 
 
 def _words(t: np.ndarray) -> np.ndarray:
@@ -174,34 +191,48 @@ def _words(t: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(t.view(np.uint8)[: len(t) // 8 * 8].view("<u8"), (len(t) - 8,), (1,), writeable=False)
 
 
-def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For suffixes in sorted ``order``: length of the prefix each shares with the one before it, cut at ``most``
-    (counted in whole eights below it), by place in the text; -1 elsewhere."""
-    padded = np.concatenate([t, np.zeros(most + 16, np.uint8)])
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """By place in the text: length of the prefix that a suffix shares with the one before it in ``sa``; 0 for the first.
+
+    Where both have the same byte before them it is one less than that of the place before, so that only the others are
+    compared, eight bytes at a time.
+    """
+    n = len(t)
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    place = np.arange(n)
+    reducible = (before > 0) & (place > 0)
+    reducible[reducible] = t[place[reducible] - 1] == t[before[reducible] - 1]
+    padded = np.concatenate([t, np.zeros(24, np.uint8)])
     words = _words(padded)
-    out = np.full(len(t), -1, np.int32)
-    a, b = order[:-1].astype(np.int64), order[1:].astype(np.int64)
-    out[b] = 0
-    live = np.arange(len(b))
-    for off in range(0, most - most % 8, 8):
-        live = live[words[a[live] + off] == words[b[live] + off]]
-        out[b[live]] = off + 8
-    for off in range(most - most % 8, most):
-        live = live[padded[a[live] + off] == padded[b[live] + off]]
-        out[b[live]] = off + 1
-    return out
+    a = np.flatnonzero(~reducible & (before >= 0))
+    b, off = before[a], 0
+    room = n - np.maximum(a, b)
+    live = np.arange(len(a))
+    length = np.zeros(len(a), np.int64)
+    while len(live):
+        differ = words[a[live] + off] ^ words[b[live] + off]
+        same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
+        length[live] = off + same
+        off += 8
+        live = live[(same == 8) & (room[live] > off)]
+    out[a] = np.minimum(length, room)
+    known = np.maximum.accumulate(np.where(reducible, 0, place))
+    return np.maximum(0, out[known] - (place - known))
 
 
 def repeated_windows(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which of the places ``starts`` (marked True in a mask over ``text``) begin a string of ``length`` bytes that
     another of them begins too."""
     sa = suffix_array(text)
-    order = sa[starts[sa]]
-    common = permuted_prefixes(text, order, length)
+    group = np.cumsum(permuted_prefixes(text, sa)[sa] < length)
+    marked = starts[sa]
+    several = np.bincount(group[marked], minlength=int(group[-1]) + 1 if len(group) else 0) > 1
     hit = np.zeros(len(text), bool)
-    again = common[order[1:]] >= length
-    hit[order[1:][again]] = True
-    hit[order[:-1][again]] = True
+    hit[sa] = marked & several[group]
     return hit
 
 
@@ -218,6 +249,18 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
+def _gram_hashes(buf: bytes, gram: int) -> np.ndarray:
+    n = len(buf)
+    words = _words(np.frombuffer(buf + bytes(8 + 8 - n % 8), np.uint8))
+    m = n - gram + 1
+    h = words[:m] * _C[0]
+    for i in range(1, gram // 8):
+        h += words[8 * i : 8 * i + m] * _C[i]
+    h ^= h >> np.uint64(32)
+    h *= _C[4]
+    return h ^ (h >> np.uint64(29))
+
+
 def contexts(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Anchor runs of several texts of under 2**24 bytes together: (text number, first window, last window, anchor hash,
     context hash)."""
@@ -229,15 +272,8 @@ def contexts(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
     if not windows.any():
         e = np.empty(0, np.int64)
         return e, e, e, e, e
-    words = _words(np.frombuffer(buf + bytes(8 + 8 - n % 8), np.uint8))
-    m = n - gram + 1
-    h = words[:m] * _C[0]
-    for i in range(1, gram // 8):
-        h += words[8 * i : 8 * i + m] * _C[i]
-    h ^= h >> np.uint64(32)
-    h *= _C[4]
-    h ^= h >> np.uint64(29)
-    best = _sliding_min((h & ~_LOW) | np.arange(m, dtype=np.uint64), w)
+    h = _gram_hashes(buf, gram)
+    best = _sliding_min((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), w)
     total = int(windows.sum())
     owner = np.repeat(np.arange(len(texts)), windows)
     p = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows) + begins[owner]
@@ -330,17 +366,55 @@ def _shards(length: int):
     return run
 
 
-def _digests(length: int):
+def _split(width: int, length: int, gram: int):
+    """Rows (ah, ch, f, at, context): windows f, f + 1, ... of a context, with their anchor at ``at`` (null: still to be
+    found) -> a row for each band of ``width`` places of the anchor in them, with the band's key and the piece's hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ah, ch, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            out: list[list] = [[] for _ in range(7)]
+            for ah, ch, f, at, t in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if at is None:
+                    at = int(np.argmin(_gram_hashes(t[:length], gram) & ~_LOW))
                 n = len(t) - length + 1
-                ds = [xxhash.xxh3_128_digest(t[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([ah] * n, pa.int64()), pa.array([ch] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ds, pa.binary())], names=["ah", "ch", "f", "digest"])
+                for band in range(max(0, at - n + 1) // width, at // width + 1):
+                    low, high = max(0, at - band * width - width + 1), min(n - 1, at - band * width)
+                    # what every window of the band holds, from its last start to its first end
+                    core = t[at - band * width : at - band * width - width + 1 + length]
+                    key = xxhash.xxh3_64_intdigest(core + band.to_bytes(2, "little"), ah & 0xFFFF) - (1 << 63)
+                    piece = t[low : high + length]
+                    for c, value in zip(out, (ah, ch, f + low, at - low, key, xxhash.xxh3_64_intdigest(piece) - (1 << 63), piece), strict=True):
+                        c.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["ah", "ch", "f", "at", "key", "ph", "context"])
 
     return run
 
 
+_RUN = "ah long, ch long, runs array<struct<f:int,t:int>>"
+
+
+def _subdivided(crowd: DataFrame, length: int, gram: int) -> DataFrame:
+    """(ah, ch, f, t): runs of repeated windows of the contexts of hot anchors."""
+    rows = crowd.select("ah", "ch", F.lit(0).alias("f"), F.lit(None).cast("int").alias("at"), "context")
+    found = None
+    for width in BANDS:
+        pieces = materialise(rows.mapInArrow(_split(width, length, gram), "ah long, ch long, f int, at int, key long, ph long, context binary"), "pieces")
+        kinds = materialise(pieces.groupBy("key", "ph").agg(F.count("*").alias("n"), F.first("context").alias("context"), F.first("at").alias("at")), "piece-kinds")
+        many = materialise(kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "piece-keys")
+        thin = kinds.join(many.where(F.col("m") <= DENSE), "key").select("key", "ph", "context").repartition("key").sortWithinPartitions("key")
+        runs = thin.mapInArrow(_shards(length), _RUN).select(F.col("ah").alias("key"), F.col("ch").alias("ph"), F.explode("runs").alias("r")).select("key", "ph", F.col("r.f").alias("lo"), F.col("r.t").alias("hi"))
+        whole = kinds.where("n > 1").select("key", "ph", F.lit(0).alias("lo"), (F.octet_length("context") - length).alias("hi"))
+        again = pieces.select("ah", "ch", "f", "key", "ph").join(materialise(runs.union(whole), "piece-runs"), ["key", "ph"])
+        again = again.select("ah", "ch", (F.col("f") + F.col("lo")).cast("int").alias("f"), (F.col("f") + F.col("hi")).cast("int").alias("t"))
+        found = again if found is None else found.union(again)
+        hot = many.where(F.col("m") > DENSE)
+        if hot.isEmpty():
+            break
+        rows = pieces.join(hot, "key").select("ah", "ch", "f", "at", "context")
+    return found
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, h, lo, hi): ranges of places of a document at which repeated strings of ``length`` bytes start.
 
@@ -358,12 +432,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     text = docs.join(where, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh"))).select("text", "want").mapInArrow(_cut_contexts(length), "ah long, ch long, context binary")
     # rows that repeat id and text give a context more than once
     text = materialise(text.dropDuplicates(["ah", "ch"]), "context-text")
-    dense = kinds.groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > DENSE).select("ah")
+    dense = materialise(kinds.groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > DENSE).select("ah"), "dense")
     thin = text.join(dense, "ah", "left_anti").repartition("ah").sortWithinPartitions("ah")
-    runs = thin.mapInArrow(_shards(length), "ah long, ch long, runs array<struct<f:int,t:int>>").select("ah", "ch", F.explode("runs").alias("r")).select("ah", "ch", "r.f", "r.t")
-    crowd = text.join(dense, "ah", "left_semi").mapInArrow(_digests(length), "ah long, ch long, f int, digest binary")
-    twice = crowd.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    runs = runs.union(crowd.join(twice, "digest").select("ah", "ch", "f", F.col("f").alias("t")))
+    runs = thin.mapInArrow(_shards(length), _RUN).select("ah", "ch", F.explode("runs").alias("r")).select("ah", "ch", "r.f", "r.t")
+    if not dense.isEmpty():
+        runs = runs.union(_subdivided(text.join(dense, "ah", "left_semi"), length, gram))
     runs = runs.union(kinds.where("n > 1").select("ah", "ch", F.lit(0).alias("f"), (F.col("at.hi") - F.col("at.lo")).cast("int").alias("t")))
     runs = materialise(runs, "runs")
     some = mixed.join(runs, ["ah", "ch"]).select("doc_id", "h", (F.col("lo") + F.col("f")).alias("lo"), (F.col("lo") + F.col("t")).alias("hi"))

@@ -71,7 +71,7 @@ def removed(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("dense", [4096, 1])
+@pytest.mark.parametrize("dense", [256, 1, 2])
 def test_repeated_bytes(docs, rows, monkeypatch, dense):
     monkeypatch.setattr(suffix, "DENSE", dense)
     got = sorted(((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), bytes(r.kept)) for r in suffix.remove_repeats(docs).collect()), key=str)
@@ -86,13 +86,37 @@ def test_suffix_arrays():
             t = rng.integers(0, k, n).astype(np.uint8)
             b = t.tobytes()
             assert suffix.suffix_array(t).tolist() == sorted(range(n), key=lambda i: b[i:])
-    t = np.frombuffer(b"mississippi" * 30, np.uint8)
+    for k, n in ((300, 50), (300, 2000), (5000, 3000), (2, 3000)):
+        t = np.unique(rng.integers(0, k, n), return_inverse=True)[1]
+        t[n // 2 :] = t[: n - n // 2]
+        assert suffix.suffix_array(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+
+
+def test_arrays_with_many_names():
+    """A text whose names of the first level are far more than 256, so that the recursion goes over names."""
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 7)).astype(np.uint8)) for _ in range(3000)]
+    b = b" ".join(words[i] for i in rng.integers(0, 3000, 6000))
+    b += b[100:9000] + b"\x00\xff" + b[5000:7000]
+    t = np.frombuffer(b, np.uint8)
     sa = suffix.suffix_array(t)
-    common = suffix.permuted_prefixes(t, sa, 20)
-    b = t.tobytes()
-    for i, j in zip(sa[:-1], sa[1:], strict=True):
-        n = next((k for k in range(20) if b[i + k : i + k + 1] != b[j + k : j + k + 1] or i + k >= len(b)), 20)
-        assert (common[j] >= 20) == (n >= 20 or False) or max(i, j) + 20 > len(b)
+    assert sa.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    common = suffix.permuted_prefixes(t, sa)
+    for i, j in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True):
+        n = int(common[j])
+        assert b[i : i + n] == b[j : j + n] and (max(i, j) + n == len(b) or b[i + n] != b[j + n])
+
+
+def test_long_text_is_cut_in_pieces(spark):
+    """Texts of over four million bytes: repeats are found across the places where they are cut."""
+    rng = np.random.default_rng(2)
+    long = rng.integers(97, 123, (4 << 20) + 60_000).astype(np.uint8).tobytes()
+    cut = (4 << 20) - 150
+    one = long[: cut - 500] + long[:500] + long[cut:]
+    two = b"-" * 7 + long[cut - 100 : cut + 400] + b"+"
+    df = spark.createDataFrame([(1, one.decode()), (2, two.decode())], "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix.remove_repeats(df).collect()}
+    assert got == {1: [(0, 500), (cut - 500, cut + 400)], 2: [(107, 507)]}
 
 
 def shingles(text):
