@@ -1,6 +1,8 @@
 """Language ID, HTML extraction, nearest neighbours and the pipeline."""
 
 import zlib
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -80,15 +82,51 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style
 <p>Third{0}</p></article><aside>Side words</aside><div id="comments"><p>A reader says so</p></div><footer>&copy; foot</footer></body></html>"""
 
 
+def weights(pages):
+    inside, outside = Counter(), Counter()
+    for p in pages:
+        x, y = html_main.counts(p)
+        inside.update(x)
+        outside.update(y)
+    return html_main.weights_of(inside, outside)
+
+
 def test_main_text():
-    w = html_main.fit([PAGE.format(i) for i in range(5)])
+    w = weights([PAGE.format(i) for i in range(5)])
     assert w[""] > 0 and all(v < 0 for k, v in w.items() if k)
     assert html_main.main_text(PAGE.format(""), w) == "Head&line\nFirst para graph with words.\nSecond one, linked text.\nThird"
     bare = "<html><body><div><a>one</a> <a>two</a></div><div><p>" + "word " * 60 + "</p><p>" + "more " * 40 + "</p></div></body></html>"
     assert html_main.main_text(bare, w).endswith("\n" + "more " * 39 + "more")
-    for odd in ("", "<p>", "<!-- open", "<script>x", "<a " * 2000, "plain &lt;text&gt;", "<nav>a<article>b c d</article>"):
+    for odd in ("", "<p>", "<!-- open", "<script>x", "<a " * 2000, "plain &lt;text&gt;", "<nav>a<article>b c d</article>", "<p a='" * 300, "</p></div></nav>" * 50):
         html_main.main_text(odd, w)
     assert html_main.main_text("plain &lt;text&gt;", w) == "plain <text>" and html_main.main_text(None, w) == ""
+    assert html_main.main_text("<nav>menu words<article>b c d</article>", w) == "b c d"
+
+
+BODY = "<p>" + "some words of the story that go on for a while " * 6 + "</p>"
+STORY = " ".join(["some words of the story that go on for a while"] * 6)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<body><article><svg class="i"/>{BODY}<p>After it.</p></article></body>', f"{STORY}\nAfter it."),
+        (f'<body><div class="wrap has-sidebar"><article>{BODY}</article></div></body>', STORY),
+        (f'<body><div class="layout no-sidebar"><article>{BODY}</article><div class="sidebar">Side.</div></div></body>', STORY),
+        (f'<body><article>{BODY}<section class="related-work"><p>Earlier work.</p></section><p class="social-history">Years.</p></article></body>', f"{STORY}\nEarlier work.\nYears."),
+        (f"<body><article>{BODY}<p data-x=don't>It's here.</p><p title=\"a > b\">End.</p></article></body>", f"{STORY}\nIt's here.\nEnd."),
+        (f'<body><div class="sidebar"><p>Side</p><main>{BODY}</main></div></body>', f"{STORY}"),
+        (f'<body><article>{BODY}</article><section id="comments"><article><p>{"I think so too " * 9}</p></article></section></body>', STORY),
+        (f'<body><div id="cookie-notice">{"We use cookies " * 20}</div><div><p>{STORY}</p></div><div class="comment-list"><p>{"So do I " * 20}</p></div></body>', STORY),
+        (f'<body><ul class="menu"><li><a>One</a></li><li><a>Two</a></li></ul><div>{BODY}<ul><li>An item.</li><li>Another one.</li></ul>{BODY}</div><footer>Foot</footer></body>', f"{STORY}\nAn item.\nAnother one.\n{STORY}"),
+        (f'<body><article><header><h1>Title</h1></header>{BODY}<aside>Aside.</aside><p role="note">Noted.</p><div hidden>No.</div></article></body>', f"Title\n{STORY}\nNoted."),
+    ],
+)
+def test_odd_pages(page, text):
+    for w in (weights([PAGE.format(i) for i in range(5)]), weights([])):
+        got = html_main.main_text(page, w)
+        # beside a mark stands text that no mark covers; it is not content
+        assert got == text
 
 
 def test_region_is_the_best_sum():
@@ -102,15 +140,53 @@ def test_region_is_the_best_sum():
         assert sum(score[a:b]) == pytest.approx(best)
 
 
+class Dom(HTMLParser):
+    """Text of the article of a page, by a parser of its own."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.end(tag)
+
+    def handle_endtag(self, tag):
+        self.end(tag)
+        self.depth -= tag == "article"
+
+    def end(self, tag):
+        if tag in ("article", "p", "h1", "div"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_data(self, data):
+        if self.depth:
+            self.blocks[-1] += data
+
+
 def test_pages(spark):
-    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     odd = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (-2, "u", "")], "page_id long, url string, html string")
     got = html_main.extract(pages.select("page_id", "url", "html").union(odd)).collect()
     assert len(got) == pages.count() + 3 and all(r.n_chars == len(r.text) for r in got)
-    assert sum(r.n_chars > 0 for r in got) >= pages.count() * 0.9
+    texts = {r.page_id: r.text for r in got}
+    for r in pages.collect():
+        dom = Dom()
+        dom.feed(r.html)
+        dom.close()
+        assert texts[r.page_id] == "\n".join(t for x in dom.blocks if (t := " ".join(x.split())))
     assert html_main.extract(pages.limit(0)).count() == 0
 
 
+def test_weights_are_summed_over_all_pages(spark):
+    pages = [PAGE.format(" x" * i) for i in range(7)] + ["<p>no mark</p>", None, ""]
+    df = spark.createDataFrame([(p,) for p in pages], "html string").repartition(4)
+    assert html_main.fit(df) == pytest.approx(weights([p or "" for p in pages]))
+    assert html_main.fit(df.limit(0)) == weights([])
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     n = 1500
