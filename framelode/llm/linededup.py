@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialise, small_batches
+from .common import discard, keyed, materialise, small_batches
 
 MIN_WORDS = 5
 _PLACE = "struct<doc_id:bigint,h:bigint,line:int>"
@@ -106,9 +106,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(d1, d2, witness place): lines with an earlier line within one edit, and the earliest of those."""
     keys = lines.where("halves IS NOT NULL").select("d1", F.explode("halves").alias("half"))
-    shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    # aggregates are written before they are joined to the rows they are of, so that Spark can split a hot key
+    shared = materialise(keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "shared-halves")
     alike = keys.join(shared, "half").select("d1").distinct()
     chosen = materialise(lines.join(alike, "d1", "left_semi").select("d1", "d2", "first"), "alike")
+    discard(shared)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,10 +129,11 @@ def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
     found = docs.join(where, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("h") == F.col("kh"))).select("text", "want").mapInArrow(texts, "d1 long, d2 long, text string")
     # rows that repeat id and text give a line more than once
     told = materialise(found.dropDuplicates(["d1", "d2"]), "alike-text")
-    every = told.mapInArrow(_variants, "d1 long, d2 long, v1 long, v2 long, spot int")
-    meeting = every.groupBy("v1").agg(F.count("*").alias("n")).where("n > 1").select("v1")
+    every = materialise(told.mapInArrow(_variants, "d1 long, d2 long, v1 long, v2 long, spot int"), "every-variant")
+    meeting = materialise(every.groupBy("v1").agg(F.count("*").alias("n")).where("n > 1").select("v1"), "meeting")
     v = materialise(every.join(meeting, "v1").join(chosen, ["d1", "d2"]), "line-variants")
-    low = v.groupBy("v1", "v2", "spot").agg(F.min(F.struct("first", "d1", "d2")).alias("low"))
+    discard(every, meeting)
+    low = materialise(v.groupBy("v1", "v2", "spot").agg(F.min(F.struct("first", "d1", "d2")).alias("low")), "lowest")
     whole, less = low.where("spot = -1").select("v1", "v2", F.col("low").alias("w")), low.where("spot >= 0").groupBy("v1", "v2").agg(F.min("low").alias("l"))
     meet = whole.join(less, ["v1", "v2"])
     same = v.where("spot >= 0").join(low, ["v1", "v2", "spot"])
@@ -156,7 +159,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(F.xxhash64(place)).alias("x"), F.min(F.xxhash64(place)).alias("y"), F.first("halves").alias("halves"))
     lines = materialise(lines.select("d1", "d2", "first", (F.col("x") != F.col("y")).alias("many"), "halves"), "lines")
     near = materialise(_near(lines, docs), "near")
-    marks = lines.where("many").select("d1", "d2", "first").join(near, ["d1", "d2"], "full")
+    marks = materialise(lines.where("many").select("d1", "d2", "first").join(near, ["d1", "d2"], "full"), "marks")
     again = found.select("d1", "d2", place.alias("place")).join(marks, ["d1", "d2"])
     again = again.where("first IS NULL OR witness IS NOT NULL OR NOT (place <=> first)")
     is_near = F.col("first").isNull() | F.col("place").eqNullSafe(F.col("first"))
