@@ -54,14 +54,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     seen = _signature(e)
     while seen[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        # the minimums are written before they are joined, so that Spark can split the links of a hub
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
+        large = materialise(both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least.hint("merge"), "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         small = materialise(small.distinct(), "small-star")
         now = _signature(small)
-        discard(e, large)
+        discard(e, large, low, least)
         e, done = small, now == seen
         seen = now
         if done:

@@ -8,6 +8,11 @@ A variant that more than ``dense`` distinct fingerprints share is not compared p
 through *balls* instead: x and y differ in at most three bits exactly when some value lies within one bit of x and
 within two bits of y. All fingerprints within two bits of a value are linked to the smallest one within one bit of
 it; such links are true by construction, and their number is linear in the members.
+
+:func:`similar` is the same for texts that are less alike: five-word shingles and a signature of 384 bits, cut into 12
+segments of which 24 bits each are indexed by one-wildcard variants. Two texts with a similarity of 0.8 differ in 15 % of
+the bits; candidates are verified by that bound. A pair at 0.8 shares a variant with a chance of 0.74, at 0.85 of 0.88, at
+0.9 of 0.98; groups of more than two copies have more chances.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialise, shuffle_partitions
+from .common import discard, keyed, materialise, shuffle_partitions
 from .components import connected_components
 
 SEED = 42
@@ -29,6 +34,13 @@ BITS = 3
 #: Distinct fingerprints in one variant up to which all its pairs are compared.
 DENSE = 64
 _BLOCK = 1 << 15
+#: Of :func:`similar`: words of a shingle, similarity, longs of a signature, indexed bits of each of its halves, and
+#: members of a variant up to which all are candidates of each other (beyond, of one of them, another in each variant).
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+LONGS = 6
+SEGMENT = 24
+CROWD = 32
 
 
 def simhash(text: bytes | None, words: int = WORDS) -> int:
@@ -95,15 +107,17 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
     variants = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(
         "fp", F.expr("shiftleft(CAST(p AS BIGINT), 32) | (shiftrightunsigned(fp, 32 * (p div 32)) & 4294967295L & ~shiftleft(1L, CAST(p % 32 AS INT)))").alias("variant")
     )
-    shared = variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(variants.join(shared, "variant"), "variants")
+    # written first, so that the join has two plain shuffles, which Spark splits where a variant is hot
+    shared = materialise(variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1"), "shared-variants")
+    members = materialise(variants.join(shared.hint("merge"), "variant"), "variants")
+    discard(shared)
     pairs = members.where(F.col("n") <= dense).groupBy("variant").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_pairs, "u long, v long").distinct()
     crowd = materialise(members.where(F.col("n") > dense).select("fp").distinct(), "crowd")
     if crowd.isEmpty():
         return pairs
-    balls = crowd.mapInArrow(_ball_rows, "ball long, fp long, inner boolean")
+    balls = materialise(crowd.mapInArrow(_ball_rows, "ball long, fp long, inner boolean"), "balls")
     hubs = balls.groupBy("ball").agg(F.min(F.when(F.col("inner"), F.col("fp"))).alias("hub"), F.count("*").alias("n")).where("n > 1 AND hub IS NOT NULL").select("ball", "hub")
-    starred = balls.join(hubs, "ball").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
+    starred = balls.join(materialise(hubs, "hubs").hint("merge"), "ball").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
     return pairs.union(starred)
 
 
@@ -117,20 +131,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component has none). Repeated rows are kept; extra columns are ignored; an empty table gives no rows.
     """
     rows = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(distinct.select("fp"), dense))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = placed.join(lowest, "root").select("fp", "component_id")
-    return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    labels = _labelled(distinct.withColumnRenamed("fp", "node"), links(distinct.select("fp"), dense))
+    return rows.join(labels.hint("merge"), F.col("fp") == F.col("node")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component_id) of rows (node, first): the smallest ``first`` of the component, nulls aside."""
+    roots = connected_components(found)
+    placed = materialise(nodes.join(roots.withColumnRenamed("node", "its").hint("merge"), F.col("node") == F.col("its"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "placed")
+    lowest = materialise(placed.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
+    return materialise(placed.join(lowest.hint("merge"), "root").select("node", "component_id"), "labels")
+
+
+def signature(text: bytes | None, words: int = SIMILAR_WORDS, longs: int = LONGS) -> list[int]:
+    """Majority bits of the hashes of the distinct shingles, as signed 64-bit integers; all zero without words."""
+    tokens = text.lower().split() if text else []
+    if not tokens:
+        return [0] * longs
+    k = min(words, len(tokens))
+    grams = {b" ".join(tokens[i : i + k]) for i in range(len(tokens) - k + 1)}
+    h = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64)
+    counts = np.zeros(64 * longs, np.int64)
+    for at in range(0, len(h), _BLOCK):
+        wide = h[at : at + _BLOCK, None] * _SPREAD[:longs]
+        wide ^= wide >> np.uint64(32)
+        wide *= _SPREAD[1 : longs + 1]
+        wide ^= wide >> np.uint64(29)
+        counts += np.unpackbits(wide.view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(h), bitorder="little").view(np.int64).tolist()
+
 
+_SPREAD = np.random.default_rng(SEED).integers(0, 1 << 63, LONGS + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each near-duplicate group: the one with the smallest id.
+
+def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [signature(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "bits"])
+
+
+def most_bits(similarity: float = SIMILARITY, bits: int = 64 * LONGS) -> int:
+    """Differing bits that texts of one size with this Jaccard similarity have on average."""
+    return round(bits * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """(doc_id long, component_id long), a row for each row of ``docs``: groups of texts whose sets of five-word shingles
+    are alike by ``similarity`` or more, as their signatures tell (by 384 bits: give or take 0.04).
+
+    Nulls, texts without words, repeated rows, extra columns and empty tables are treated as by :func:`near_duplicates`.
+    """
+    rows = materialise(keyed(docs, id_col, text_col).mapInArrow(_signature_batches, "doc_id long, bits array<bigint>").withColumn("node", F.xxhash64("bits")), "signatures")
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bits").alias("bits")), "nodes")
+    spread = nodes.select("node", "bits").repartition(shuffle_partitions(docs.sparkSession), F.xxhash64("node"))
+    half = f"CAST(shiftrightunsigned(element_at(bits, CAST(1 + p div {2 * SEGMENT} AS INT)), CAST(32 * ((p div {SEGMENT}) % 2) AS INT)) & {(1 << SEGMENT) - 1}L AS BIGINT)"
+    variants = spread.select("node", "bits", F.explode(F.sequence(F.lit(0), F.lit(2 * LONGS * SEGMENT - 1))).alias("p")).select("node", F.expr(f"shiftleft(CAST(p AS BIGINT), {SEGMENT}) | ({half} & ~shiftleft(1L, p % {SEGMENT}))").alias("variant"))
+    shared = materialise(variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1"), "shared-variants")
+    members = materialise(variants.join(shared.hint("merge"), "variant"), "variants")
+    hubs = materialise(members.where(F.col("n") > crowd).groupBy("variant").agg(F.min_by("node", F.xxhash64("variant", "node")).alias("hub")), "hubs")
+    few = members.where(F.col("n") <= crowd).select("variant", "node")
+    pairs = few.select("variant", F.col("node").alias("u")).join(few.select("variant", F.col("node").alias("v")).hint("merge"), "variant").where("u < v").select("u", "v")
+    pairs = pairs.union(members.join(hubs.hint("merge"), "variant").where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")))
+    pairs = materialise(pairs.distinct(), "candidates")
+    told = pairs.join(nodes.select(F.col("node").alias("u"), F.col("bits").alias("x")).hint("merge"), "u").join(nodes.select(F.col("node").alias("v"), F.col("bits").alias("y")).hint("merge"), "v")
+    differ = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+    labels = _labelled(nodes.select("node", "first"), told.where(differ <= most_bits(similarity)).select("u", "v"))
+    discard(shared, members, hubs, pairs)
+    return rows.join(labels.hint("merge"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
+    """``docs``, all columns, with one document of each group (by default of :func:`similar`): the one with the smallest id.
 
     Repeated rows with that id all stay. Rows without an id stay where some group has no id at all.
     """
-    groups = near_duplicates(docs, id_col, text_col)
+    groups = similar(docs, id_col, text_col) if groups is None else groups
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
     packed = docs.select(F.col(id_col).cast("long").alias("key"), F.struct("*").alias("row"))
     return packed.join(kept, packed.key.eqNullSafe(kept.kept), "left_semi").select("row.*")

@@ -66,17 +66,61 @@ def test_components_of_long_chains(spark):
 
 
 def test_empty(empty):
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.similar(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_similar_texts(spark):
+    """Groups against exact similarities of all pairs: pairs of 0.9 or more are together, groups hold none below 0.7."""
+    rng = np.random.default_rng(6)
+    word = lambda: f"w{rng.integers(0, 4000)}"
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(int(rng.integers(80, 400)))]
+        texts.append(base)
+        for changes in (0, 1, 2, 4, 40):
+            t = list(base)
+            for i in rng.integers(0, len(t), changes * len(t) // 100):
+                t[i] = word()
+            texts.append(t)
+    texts = [" ".join(t) for t in texts]
+    for crowd in (32, 2):
+        got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), crowd=crowd).collect()}
+        sets, seen = [shingles(t) for t in texts], 0
+        for i in range(len(texts)):
+            assert got[i] <= i and i // 6 == got[i] // 6
+            for j in range(i):
+                alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                if alike >= 0.9:
+                    seen += 1
+                    assert got[i] == got[j]
+            if got[i] != i:
+                assert max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(texts)) if j != i) > 0.7
+        assert seen > 40
+    assert simhash.most_bits() == 58 and simhash.signature(None) == simhash.signature(b" \t") == [0] * 6
+
+
+def test_similar_odd_rows(docs, rows):
+    got = simhash.similar(docs).collect()
+    assert len(got) == len(rows)
+    blank = {r[0] for r in rows if r[0] is not None and not (r[1] or "").strip()}
+    assert {r.component_id for r in got if r.doc_id in blank} == {min(blank)}
 
 
 def test_keep_one_keeps_all_columns(docs):
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    groups = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert {r.doc_id for r in kept.collect()} == groups
+    for groups in (simhash.similar(docs), simhash.near_duplicates(docs)):
+        kept = simhash.keep_one(docs, groups=groups)
+        assert kept.columns == docs.columns
+        assert {r.doc_id for r in kept.collect()} == {r.component_id for r in groups.collect()}
 
 
 def test_long_text_blocks():
-    text = ("a b c d e f " * 20_000).encode()
-    assert simhash.simhash(text) == pytest.approx(simhash.simhash(text))
+    rng = np.random.default_rng(7)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 30_000, 900_000))
+    assert len(text) > 4 << 20
+    assert np.array(simhash.simhash(text.encode())).astype(np.int64).view(np.uint64) == slow(text)
     assert np.array(simhash.simhash(b"one two three four")).astype(np.int64).view(np.uint64) == slow("one two three four")
