@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Sample that the network is fitted on: documents of each language (first by hash), languages (most documents first),
-#: windows of a document (evenly over the whole text).
+#: Sample that the network is fitted on: documents of each language that is there (first by hash), windows of a document
+#: (evenly over the whole text).
 DOCS_PER_LANG = 300
-LANGS = 200
 WINDOWS_PER_DOC = 12
 WINDOW = 64
 HIDDEN = 8
@@ -211,11 +210,10 @@ class Labeller:
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[bytes], list[str]]:
     """Windows and languages of the bounded sample: labelled documents outside the held-out fold."""
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    t = t.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    common = [r["lang"] for r in t.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = t.where(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("k", rank).where(F.col("k") <= DOCS_PER_LANG)
-    chosen = chosen.select("doc_id").distinct()
+    t = t.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h"))
+    chosen = t.select("doc_id", "h", "lang").distinct().withColumn("k", rank).where(F.col("k") <= DOCS_PER_LANG)
+    chosen = chosen.select(F.col("doc_id").alias("i"), F.col("h").alias("j")).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,9 +226,10 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                         out.append(t[at : at + WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["doc_id", "lang", "window"])
 
-    # at most LANGS * DOCS_PER_LANG ids
-    found = t.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang").mapInArrow(cut, "doc_id long, lang string, window binary")
-    rows = sorted((r["doc_id"], r["lang"], bytes(r["window"])) for r in found.collect())
+    # at most DOCS_PER_LANG rows a language, of 16 bytes; rows that repeat id and text give their windows once
+    found = t.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j"))).select("doc_id", "text", "lang")
+    found = found.mapInArrow(cut, "doc_id long, lang string, window binary").distinct()
+    rows = sorted((r["doc_id"] or 0, r["lang"], bytes(r["window"])) for r in found.collect())
     return [r[2] for r in rows], [r[1] for r in rows]
 
 
@@ -240,6 +239,10 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
+    """A model of all languages of labelled documents outside the held-out fold, from a bounded sample of each.
+
+    Rows with a null language or text teach nothing; without any others the model is None. Repeated rows count once.
+    """
     return train(*sample(docs, id_col, text_col, lang_col))
 
 
