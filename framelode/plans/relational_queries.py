@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -102,30 +101,21 @@ def gap_fill_flag(spark, sf_dir):
 
 
 @query("or_key_join", """
-WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 1000 AS head, l_suppkey % 1000 AS face FROM lineitem WHERE l_quantity >= 45)
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 1000 AS head, l_suppkey % 1000 AS face FROM lineitem)
 SELECT l_orderkey, s_suppkey, count(*) AS n FROM p JOIN supplier ON s_suppkey = head OR s_suppkey = face GROUP BY 1, 2""")
-def or_key_join(spark, sf_dir, rows="l_quantity >= 45"):
-    p = src.table(spark, sf_dir, "lineitem").where(rows).select("l_orderkey", (F.col("l_partkey") % 1000).alias("head"), (F.col("l_suppkey") % 1000).alias("face"))
+def or_key_join(spark, sf_dir):
+    p = src.table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 1000).alias("head"), (F.col("l_suppkey") % 1000).alias("face"))
     return validate.either_key(p, src.table(spark, sf_dir, "supplier").select("s_suppkey"), ("head", "face"), "s_suppkey").groupBy("l_orderkey", "s_suppkey").agg(F.count("*").alias("n"))
 
 
 # ---- as-of ---------------------------------------------------------------------------------------------------------
 
-#: Frames to look up: the ship dates of orders' fourth lines as days.
-ASK = "ask AS (SELECT DISTINCT o_custkey AS track, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS frame FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 4)"
+#: Frames to look up: all ship dates of a customer's orders, as days.
+ASK = "ask AS (SELECT DISTINCT o_custkey AS track, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS frame FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def ask(spark, sf_dir):
-    return _ask(spark, sf_dir, src.table(spark, sf_dir, "lineitem").where("l_linenumber = 4"))
-
-
-def ask_all(spark, sf_dir):
-    """All ship dates, not those of fourth lines alone."""
-    return _ask(spark, sf_dir, src.table(spark, sf_dir, "lineitem"))
-
-
-def _ask(spark, sf_dir, line):
-    j = line.join(src.table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
+    j = src.table(spark, sf_dir, "lineitem").join(src.table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
     return j.select(F.col("o_custkey").alias("track"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long").alias("frame")).distinct()
 
 
@@ -138,12 +128,12 @@ def scene_of_frame(spark, sf_dir):
 @query("bracketing_keyframes", f"""
 WITH {K}, {ASK} SELECT a.track, a.frame, (SELECT max(frame) FROM keyframes k WHERE k.track = a.track AND k.frame <= a.frame) AS "left",
   (SELECT min(frame) FROM keyframes k WHERE k.track = a.track AND k.frame >= a.frame) AS "right" FROM ask a""")
-def bracketing_keyframes(spark, sf_dir, ask=ask):
+def bracketing_keyframes(spark, sf_dir):
     return asof.bracket(ask(spark, sf_dir), src.keyframes(spark, sf_dir), "x").select("track", "frame", "left", "right")
 
 
 @query("seek_anchor", f"""WITH {K}, {ASK} SELECT a.track, a.frame, max(k.frame) AS anchor FROM ask a LEFT JOIN keyframes k ON k.track = a.track AND k.frame <= a.frame GROUP BY 1, 2""")
-def seek_anchor(spark, sf_dir, ask=ask):
+def seek_anchor(spark, sf_dir):
     return asof.bracket(ask(spark, sf_dir), src.keyframes(spark, sf_dir), "x").select("track", "frame", F.col("left").alias("anchor"))
 
 
@@ -151,7 +141,7 @@ def seek_anchor(spark, sf_dir, ask=ask):
 WITH {K}, {ASK}, b AS (SELECT a.track, a.frame, (SELECT max(frame) FROM keyframes k WHERE k.track = a.track AND k.frame <= a.frame) AS l, (SELECT min(frame) FROM keyframes k WHERE k.track = a.track AND k.frame >= a.frame) AS r FROM ask a)
 SELECT b.track, b.frame, round(p.y + (q.y - p.y) * CASE WHEN l = r THEN 0.0 ELSE CAST(b.frame - l AS DOUBLE) / (r - l) END, 6) AS y
 FROM b JOIN keyframes p ON p.track = b.track AND p.frame = l JOIN keyframes q ON q.track = b.track AND q.frame = r""")
-def asof_interpolation(spark, sf_dir, ask=ask):
+def asof_interpolation(spark, sf_dir):
     b = asof.bracket(ask(spark, sf_dir), src.keyframes(spark, sf_dir), "y").where("left IS NOT NULL AND right IS NOT NULL")
     return b.select("track", "frame", F.round(F.expr("left_value + (right_value - left_value) * alpha"), 6).alias("y"))
 
@@ -161,12 +151,12 @@ NEAR = f"""{K}, {ASK}, n AS (SELECT a.track, a.frame, k.frame AS nearest, abs(a.
 
 
 @query("nearest_keyframe", f"WITH {NEAR} SELECT track, frame, nearest, distance, y FROM n WHERE p = 1")
-def nearest_keyframe(spark, sf_dir, ask=ask):
+def nearest_keyframe(spark, sf_dir):
     return asof.nearest(ask(spark, sf_dir), src.keyframes(spark, sf_dir), "y").where("nearest IS NOT NULL").withColumnRenamed("value", "y")
 
 
 @query("keyframe_within_radius", f"WITH {NEAR} SELECT track, frame, distance <= 30 AS near FROM n WHERE p = 1")
-def keyframe_within_radius(spark, sf_dir, ask=ask):
+def keyframe_within_radius(spark, sf_dir):
     n = asof.nearest(ask(spark, sf_dir), src.keyframes(spark, sf_dir), "y").where("nearest IS NOT NULL")
     return n.select("track", "frame", (F.col("distance") <= 30).alias("near"))
 
@@ -310,11 +300,11 @@ def natural_id_order(spark, sf_dir):
 
 
 @query("legacy_export", f"""
-WITH {T}, m AS (SELECT track, frame, CASE WHEN value > 5 THEN label END AS label, event_id FROM tracks WHERE track % 3 <> 0),
+WITH {T}, m AS (SELECT track, frame, CASE WHEN value > 5 THEN label END AS label, event_id FROM tracks),
 f AS (SELECT track, arg_min(label, frame * 1000000 + event_id) FILTER (WHERE label IS NOT NULL) AS label FROM m GROUP BY track)
 SELECT CAST(f.track AS VARCHAR) AS track_id, coalesce(nullif(f.label, ''), 'unknown') AS label, count(*) AS masks FROM m JOIN f ON m.track = f.track GROUP BY 1, 2""")
-def legacy_export(spark, sf_dir, rows="track % 3 <> 0"):
-    m = src.tracks(spark, sf_dir).where(rows).withColumn("l", F.when(F.col("value") > 5, F.col("label")))
+def legacy_export(spark, sf_dir):
+    m = src.tracks(spark, sf_dir).withColumn("l", F.when(F.col("value") > 5, F.col("label")))
     g = m.groupBy("track").agg(F.min_by("l", F.when(F.col("l").isNotNull(), F.struct("frame", "event_id"))).alias("label"), F.count("*").alias("masks"))
     return g.select(F.col("track").cast("string").alias("track_id"), F.coalesce(F.nullif("label", F.lit("")), F.lit("unknown")).alias("label"), "masks")
 
@@ -362,7 +352,7 @@ def group_size_checks(spark, sf_dir):
 @query("provenance_bracket", f"""
 WITH {K}, {ASK} SELECT a.track, a.frame FROM ask a WHERE NOT EXISTS (SELECT 1 FROM keyframes k WHERE k.track = a.track)
   OR NOT (EXISTS (SELECT 1 FROM keyframes k WHERE k.track = a.track AND k.frame <= a.frame) AND EXISTS (SELECT 1 FROM keyframes k WHERE k.track = a.track AND k.frame >= a.frame))""")
-def provenance_bracket(spark, sf_dir, ask=ask):
+def provenance_bracket(spark, sf_dir):
     used = ask(spark, sf_dir).withColumnRenamed("track", "segment")
     return keyframes.provenance_violations(used, src.keyframes(spark, sf_dir).withColumnRenamed("track", "segment")).withColumnRenamed("segment", "track")
 
@@ -511,19 +501,10 @@ def json_properties(spark, sf_dir):
 
 
 @query("metadata_flatten", """SELECT event_id, 'k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value, 'int' AS value_type FROM events
-UNION ALL SELECT event_id, 'tags.0', event_type, 'str' FROM events UNION ALL SELECT event_id, 'tags.1', NULL, 'null' FROM events""")
+UNION ALL SELECT event_id, 'tags.0', event_type, 'str' FROM events UNION ALL SELECT event_id, 'tags.1', '', 'null' FROM events""")
 def metadata_flatten(spark, sf_dir):
     from framelode.functions.metadata import flatten
 
     e = src.table(spark, sf_dir, "events")
     doc = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "tags": ["'), F.col("event_type"), F.lit('", null]}'))
     return flatten(e.select("event_id", doc.alias("doc")), "event_id", "doc")
-
-
-# ---- whole tables --------------------------------------------------------------------------------------------------
-
-# the SQL of these queries states a part of the rows; the same over all of them, under a name of its own
-for _f in (bracketing_keyframes, seek_anchor, asof_interpolation, nearest_keyframe, keyframe_within_radius, provenance_bracket):
-    query(f"{_f.__name__}_all", ORACLES[_f.__name__].replace(" WHERE l_linenumber = 4", ""))(partial(_f, ask=ask_all))
-for _f, _rows in ((or_key_join, " WHERE l_quantity >= 45"), (legacy_export, " WHERE track % 3 <> 0")):
-    query(f"{_f.__name__}_all", ORACLES[_f.__name__].replace(_rows, ""))(partial(_f, rows="true"))
