@@ -10,22 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def entries(value, path: str = "") -> Iterator[tuple[str, str | None, str]]:
-    """Leaves of a JSON value with dotted paths; empty containers and nulls are leaves of their own type."""
+def entries(value, path: str = "") -> Iterator[tuple[str, str, str]]:
+    """Leaves of a JSON value with dotted paths: text and type. Empty containers and nulls are leaves of their own type, with
+    an empty text; booleans are 1 and 0."""
     if isinstance(value, dict):
         if not value:
-            yield path, None, "empty_mapping"
+            yield path, "", "empty_mapping"
         for k, v in value.items():
             yield from entries(v, f"{path}.{k}" if path else str(k))
     elif isinstance(value, list):
         if not value:
-            yield path, None, "empty_sequence"
+            yield path, "", "empty_sequence"
         for i, v in enumerate(value):
             yield from entries(v, f"{path}.{i}" if path else str(i))
     elif value is None:
-        yield path, None, "null"
+        yield path, "", "null"
     elif isinstance(value, bool):
-        yield path, "true" if value else "false", "bool"
+        yield path, "1" if value else "0", "bool"
     elif isinstance(value, (int, float)):
         yield path, repr(value), type(value).__name__
     else:

@@ -63,13 +63,14 @@ def normalise_records(records: DataFrame) -> DataFrame:
     """One row per detection from one row per frame, whatever dialect the record is in.
 
     Understands frame_index or frame_idx, detections or instances, bbox_xyxy or bbox (x, y, width, height; negative
-    sizes count as 0), score or cls_score; empty or missing names become 'unknown'; corners are put in order.
+    sizes count as 0), score or cls_score; empty or missing names become 'unknown'; corners are put in order. A frame
+    without detections stays, as one row of nulls.
     """
     cols = records.columns
     frame = F.col("frame_index" if "frame_index" in cols else "frame_idx").cast("long").alias("frame")
-    d = records.select(frame, F.explode("detections" if "detections" in cols else "instances").alias("d")).select("frame", "d.*")
+    d = records.select(frame, F.explode_outer("detections" if "detections" in cols else "instances").alias("d")).select("frame", F.col("d").isNotNull().alias("is_detection"), "d.*")
     have = set(d.columns)
-    name = lambda c: F.when(F.length(F.trim(F.coalesce(c, F.lit("")))) > 0, F.trim(c)).otherwise(F.lit("unknown"))
+    name = lambda c: F.when(~F.col("is_detection"), None).when(F.length(F.trim(F.coalesce(c, F.lit("")))) > 0, F.trim(c)).otherwise(F.lit("unknown"))
     if "bbox_xyxy" in have:
         b = F.col("bbox_xyxy")
         box = F.array(F.least(b[0], b[2]), F.least(b[1], b[3]), F.greatest(b[0], b[2]), F.greatest(b[1], b[3]))
@@ -81,4 +82,4 @@ def normalise_records(records: DataFrame) -> DataFrame:
     cls = F.col("class_name") if "class_name" in have else label
     ident = F.col("source_detection_id").cast("long") if "source_detection_id" in have else F.lit(None).cast("long")
     polygons = [F.col(c).alias("polygons") for c in ("polygons", "segmentation") if c in have][:1]
-    return d.select("frame", ident.alias("source_detection_id"), name(cls).alias("class_name"), name(F.coalesce(label, cls)).alias("label"), score.alias("score"), box.alias("bbox_xyxy"), *polygons)
+    return d.select("frame", ident.alias("source_detection_id"), name(cls).alias("class_name"), name(F.coalesce(label, cls)).alias("label"), score.alias("score"), F.when(F.col("is_detection"), box).alias("bbox_xyxy"), *polygons)

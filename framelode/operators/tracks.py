@@ -6,6 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Values of an ordering column that one task sums over.
+BLOCK = 1 << 16
+
+
+def running_sum(rows: DataFrame, order: str, value: F.Column, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of ``keys`` up to and with this one, by the integer ``order``.
+
+    Rows are summed by blocks of the order's range, and only the sums of blocks are ordered in one task.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(order) / BLOCK)).withColumn("_value", value)
+    up = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_block").alias("_at"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.col("_block").eqNullSafe(F.col("_at"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = rows.withColumn("_inside", F.sum("_value").over(up)).join(sums, same).withColumn(name, F.col("_before") + F.col("_inside"))
+    return out.drop("_block", "_value", "_at", "_before", "_inside", *(f"_{k}" for k in keys))
+
+
 def label_histogram(rows: DataFrame, order: str = "event_id") -> DataFrame:
     """(track, label, n, first_seen): how often and how early a track carries a label."""
     return rows.groupBy("track", "label").agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
@@ -20,20 +41,22 @@ def resolve(rows: DataFrame, order: str = "event_id", max_short: int = 10) -> Da
     h = label_histogram(rows, order)
     t = h.groupBy("track").agg(F.sum("n").alias("length"), F.max_by("label", F.struct("n", -F.col("first_seen"))).alias("label"), F.count("*").alias("n_labels"))
     t = t.withColumn("removed", F.col("length") <= max_short)
-    number = F.sum(F.when(~F.col("removed"), 1).otherwise(0)).over(Window.orderBy("track").rowsBetween(Window.unboundedPreceding, 0))
-    return t.withColumn("final_id", F.when(~F.col("removed"), number))
+    t = running_sum(t, "track", F.when(~F.col("removed"), 1).otherwise(0), "number")
+    return t.withColumn("final_id", F.when(~F.col("removed"), F.col("number"))).drop("number")
 
 
 def scene_of(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Adds ``scene``: the number of cuts at or before the row's frame (frame-complete input assumed).
+    """Adds ``scene``: the number of cuts at or before the row's frame (frame-complete input assumed), of the same video
+    where both tables have a ``video``.
 
     Cuts and frames are merged in one ordered pass over distinct frames, which are few beside rows; the join back is
     by equality on the frame.
     """
-    marks = rows.select("frame").distinct().select("frame", F.lit(0).alias("cut")).union(cuts.select("frame", F.lit(1).alias("cut")))
-    marks = marks.groupBy("frame").agg(F.max("cut").alias("cut"))
-    scenes = marks.select("frame", F.sum("cut").over(Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)).alias("scene"))
-    return rows.join(scenes, "frame")
+    keys = ("video",) if "video" in rows.columns and "video" in cuts.columns else ()
+    marks = rows.select(*keys, "frame").distinct().withColumn("cut", F.lit(0)).union(cuts.select(*keys, "frame", F.lit(1).alias("cut")))
+    marks = marks.groupBy(*keys, "frame").agg(F.max("cut").alias("cut"))
+    scenes = running_sum(marks, "frame", F.col("cut"), "scene", keys).drop("cut")
+    return rows.join(scenes, [*keys, "frame"])
 
 
 def runs(rows: DataFrame, keys: list[str], extra_break: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import sqlite3
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +25,13 @@ def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def connect(path: str) -> sqlite3.Connection:
-    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+@contextmanager
+def connect(path: str) -> Iterator[sqlite3.Connection]:
+    c = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    try:
+        yield c
+    finally:
+        c.close()
 
 
 def columns(path: str, table: str) -> StructType:
@@ -38,6 +44,8 @@ def columns(path: str, table: str) -> StructType:
 
 
 class Range(InputPartition):
+    """Rows between two values; all rows without any; those that have no value where only ``high`` is given."""
+
     def __init__(self, low: int | None, high: int | None):
         self.low, self.high = low, high
 
@@ -63,7 +71,7 @@ class SqliteReader(DataSourceReader):
         if low is None:
             return [Range(None, None)]
         step = max(1, -(-(high - low + 1) // n))
-        return [Range(a, min(high, a + step - 1)) for a in range(low, high + 1, step)]
+        return [*(Range(a, min(high, a + step - 1)) for a in range(low, high + 1, step)), *([] if key == "rowid" else [Range(None, high)])]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         key = self.options.get("range", "rowid")
@@ -71,6 +79,8 @@ class SqliteReader(DataSourceReader):
         if part.low is not None:
             where.append(f"{key if key == 'rowid' else quoted(key)} BETWEEN ? AND ?")
             values += [part.low, part.high]
+        elif part.high is not None:
+            where.append(f"{quoted(key)} IS NULL")
         names = self.schema.fieldNames()
         sql = f"SELECT {', '.join(map(quoted, names))} FROM {quoted(self.options['table'])}" + (f" WHERE {' AND '.join(where)}" if where else "")
         kinds = [{"bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}.get(f.dataType.simpleString(), pa.string()) for f in self.schema.fields]

@@ -132,3 +132,10 @@ def test_contours():
     assert (scale, angle) == pytest.approx((2, 0.3)) and np.allclose(shift, [3, 4])
     assert shapes.motion(square, moved)["rms_similarity"] == pytest.approx(0, abs=1e-9)
     assert shapes.point_budget([70, 20, 10], 20) == [11, 5, 4] and sum(shapes.point_budget([5, 5, 5], 10)) == 10
+
+
+def test_metadata_of_all_kinds():
+    from framelode.functions.metadata import entries
+
+    value = {"a": True, "b": False, "c": None, "d": {}, "e": [], "f": {"g": [1, 2.5, "x", None]}}
+    assert list(entries(value)) == [("a", "1", "bool"), ("b", "0", "bool"), ("c", "", "null"), ("d", "", "empty_mapping"), ("e", "", "empty_sequence"), ("f.g.0", "1", "int"), ("f.g.1", "2.5", "float"), ("f.g.2", "x", "str"), ("f.g.3", "", "null")]

@@ -45,6 +45,20 @@ def test_tracking_with_a_cut_and_resolution(spark):
     assert sorted((r.frame, r.track) for r in got.collect()) == [(0, 1), (1, 1), (2, 2), (3, 2)]
 
 
+def test_scenes_are_those_of_the_video(spark):
+    rows = [(v, f) for v in (1, 2, None) for f in (0, 5, 70_000, 140_000)]
+    df = spark.createDataFrame(rows, "video long, frame long")
+    cuts = spark.createDataFrame([(1, 5), (1, 100_000), (2, 70_000)], "video long, frame long")
+    got = {(r.video, r.frame): r.scene for r in tracks.scene_of(df, cuts).collect()}
+    assert got == {(1, 0): 0, (1, 5): 1, (1, 70_000): 1, (1, 140_000): 2, (2, 0): 0, (2, 5): 0, (2, 70_000): 1, (2, 140_000): 1}
+
+
+def test_final_ids_go_on_over_blocks(spark):
+    df = spark.createDataFrame([(t, "a", i) for t in (3, 70_000, 70_001, 900_000) for i in range(2 if t != 70_000 else 1)], "track long, label string, event_id long")
+    got = {r.track: r.final_id for r in tracks.resolve(df, max_short=1).collect()}
+    assert got == {3: 1, 70_000: None, 70_001: 2, 900_000: 3}
+
+
 def test_pairs_prefer_the_larger_track():
     t = track.GreedyTracker()
     same = np.array([[0, 0, 100, 100], [0, 0, 100, 100]], float)
