@@ -9,10 +9,11 @@ through *balls* instead: x and y differ in at most three bits exactly when some
 within two bits of y. All fingerprints within two bits of a value are linked to the smallest one within one bit of
 it; such links are true by construction, and their number is linear in the members.
 
-:func:`similar` is the same for texts that are less alike: five-word shingles and a signature of 384 bits, cut into 12
-segments of which 24 bits each are indexed by one-wildcard variants. Two texts with a similarity of 0.8 differ in 15 % of
-the bits; candidates are verified by that bound. A pair at 0.8 shares a variant with a chance of 0.74, at 0.85 of 0.88, at
-0.9 of 0.98; groups of more than two copies have more chances.
+:func:`similar` finds texts that are less alike, by five-word shingles. Majority bits can't: texts alike by 0.8 differ in
+15 % of them, so a segment long enough to tell texts apart seldom differs by one bit, and 288 variants a text would still
+miss 26 % of such pairs. Its signature therefore holds least hashes instead of bits: two texts alike by 0.8 differ in 20 %
+of the values. The index is the same: eight segments of eight values, each value blanked in turn, equality joins; pairs are
+verified by their exact shingle sets. A pair at 0.8 shares a variant with a chance of 0.996, at 0.85 and above of 0.9998.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, keyed, materialise, shuffle_partitions
@@ -34,12 +35,12 @@ BITS = 3
 #: Distinct fingerprints in one variant up to which all its pairs are compared.
 DENSE = 64
 _BLOCK = 1 << 15
-#: Of :func:`similar`: words of a shingle, similarity, longs of a signature, indexed bits of each of its halves, and
-#: members of a variant up to which all are candidates of each other (beyond, of one of them, another in each variant).
+#: Of :func:`similar`: words of a shingle, similarity, segments of a signature, values of each, and members of a variant up
+#: to which all are compared with each other (beyond, with its most central ones, as long as it holds several groups).
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-LONGS = 6
-SEGMENT = 24
+SEGMENTS = 8
+VALUES = 8
 CROWD = 32
 
 
@@ -144,61 +145,125 @@ def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(placed.join(lowest.hint("merge"), "root").select("node", "component_id"), "labels")
 
 
-def signature(text: bytes | None, words: int = SIMILAR_WORDS, longs: int = LONGS) -> list[int]:
-    """Majority bits of the hashes of the distinct shingles, as signed 64-bit integers; all zero without words."""
+def shingle_set(text: bytes | None, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, ascending: fewer words give one shingle of all, none give none."""
     tokens = text.lower().split() if text else []
-    if not tokens:
-        return [0] * longs
     k = min(words, len(tokens))
-    grams = {b" ".join(tokens[i : i + k]) for i in range(len(tokens) - k + 1)}
-    h = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64)
-    counts = np.zeros(64 * longs, np.int64)
-    for at in range(0, len(h), _BLOCK):
-        wide = h[at : at + _BLOCK, None] * _SPREAD[:longs]
-        wide ^= wide >> np.uint64(32)
-        wide *= _SPREAD[1 : longs + 1]
-        wide ^= wide >> np.uint64(29)
-        counts += np.unpackbits(wide.view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(h), bitorder="little").view(np.int64).tolist()
+    grams = {b" ".join(g) for g in zip(*(tokens[i:] for i in range(k)), strict=False)} if k else ()
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
 
 
-_SPREAD = np.random.default_rng(SEED).integers(0, 1 << 63, LONGS + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_N = SEGMENTS * VALUES
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 62, (2, _N), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [signature(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "bits"])
+def variant_keys(shingles: np.ndarray) -> np.ndarray:
+    """The signature's one-wildcard variants: for each value, a key of the other values of its segment."""
+    least = np.full(_N, np.iinfo(np.uint32).max, np.uint32)
+    a, b = (_ODD >> np.uint64(31)).astype(np.uint32)[:, :, None]
+    for at in range(0, len(shingles), 1024):
+        x = (shingles[at : at + 1024] >> np.uint64(16)).astype(np.uint32)
+        h = (x[None] ^ b) * (a | np.uint32(1))
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
+        h ^= h >> np.uint32(13)
+        np.minimum(least, h.min(axis=1), out=least)
+    mixed = (least.astype(np.uint64) + np.uint64(1)) * _ODD[0]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD[1]
+    rest = (mixed.reshape(SEGMENTS, VALUES).sum(axis=1, keepdims=True) - mixed.reshape(SEGMENTS, VALUES)).reshape(-1)
+    return ((rest ^ (rest >> np.uint64(31))) * _ODD[0] + _ODD[1]).view(np.int64)
+
 
+_SHINGLED = "doc_id long, node long, shingles array<int>, variants array<bigint>"
 
-def most_bits(similarity: float = SIMILARITY, bits: int = 64 * LONGS) -> int:
-    """Differing bits that texts of one size with this Jaccard similarity have on average."""
-    return round(bits * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+def _shingled_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        # few rows a batch: a row of a long text is as large as the text
+        for at in range(0, b.num_rows, 100):
+            part = b.slice(at, 100)
+            sets = [shingle_set(t) for t in part.column(1).cast(pa.binary()).to_pylist()]
+            nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
+            # without words there is nothing to be alike in part
+            keys = [variant_keys(s) if len(s) else np.empty(0, np.int64) for s in sets]
+            short = [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(short, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "node", "shingles", "variants"],
+            )
+
+
+def _sizes_allow(m: str, n: str, similarity: float) -> Column:
+    return F.least(m, n) >= similarity * F.greatest(m, n)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes whose shingle sets have this Jaccard similarity, by digests of 32 bits; a written table."""
+    pairs = materialise(pairs, "candidates")
+    wanted = materialise(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "wanted")
+    sets = rows.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = materialise(sets.join(wanted.hint("merge"), "node"), "sets")
+    told = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")).hint("merge"), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")).hint("merge"), "v")
+    both = F.size(F.array_intersect("x", "y"))
+    out = materialise(told.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v"), "alike")
+    discard(pairs, wanted, sets)
+    return out
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """(doc_id long, component_id long), a row for each row of ``docs``: groups of texts whose sets of five-word shingles
-    are alike by ``similarity`` or more, as their signatures tell (by 384 bits: give or take 0.04).
+    """(doc_id long, component_id long), a row for each row of ``docs``: groups of texts linked by a Jaccard similarity of
+    their sets of five-word shingles of ``similarity`` or more, found by variants and verified.
+
+    In a variant of over ``crowd`` distinct texts all are compared with the most central one (that shares most variants with
+    others); where a variant still holds several groups, with the next seven, then 56, and so on, but for texts in one group
+    by then, until it holds one group or all were compared.
 
     Nulls, texts without words, repeated rows, extra columns and empty tables are treated as by :func:`near_duplicates`.
     """
-    rows = materialise(keyed(docs, id_col, text_col).mapInArrow(_signature_batches, "doc_id long, bits array<bigint>").withColumn("node", F.xxhash64("bits")), "signatures")
-    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bits").alias("bits")), "nodes")
-    spread = nodes.select("node", "bits").repartition(shuffle_partitions(docs.sparkSession), F.xxhash64("node"))
-    half = f"CAST(shiftrightunsigned(element_at(bits, CAST(1 + p div {2 * SEGMENT} AS INT)), CAST(32 * ((p div {SEGMENT}) % 2) AS INT)) & {(1 << SEGMENT) - 1}L AS BIGINT)"
-    variants = spread.select("node", "bits", F.explode(F.sequence(F.lit(0), F.lit(2 * LONGS * SEGMENT - 1))).alias("p")).select("node", F.expr(f"shiftleft(CAST(p AS BIGINT), {SEGMENT}) | ({half} & ~shiftleft(1L, p % {SEGMENT}))").alias("variant"))
+    rows = materialise(keyed(docs, id_col, text_col).mapInArrow(_shingled_batches, _SHINGLED), "shingled")
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("variants").alias("variants"), F.min(F.size("shingles")).alias("size")), "nodes")
+    spread = nodes.select("node", "size", "variants").repartition(shuffle_partitions(docs.sparkSession), F.xxhash64("node"))
+    variants = spread.select("node", "size", F.explode("variants").alias("variant"))
     shared = materialise(variants.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1"), "shared-variants")
     members = materialise(variants.join(shared.hint("merge"), "variant"), "variants")
-    hubs = materialise(members.where(F.col("n") > crowd).groupBy("variant").agg(F.min_by("node", F.xxhash64("variant", "node")).alias("hub")), "hubs")
-    few = members.where(F.col("n") <= crowd).select("variant", "node")
-    pairs = few.select("variant", F.col("node").alias("u")).join(few.select("variant", F.col("node").alias("v")).hint("merge"), "variant").where("u < v").select("u", "v")
-    pairs = pairs.union(members.join(hubs.hint("merge"), "variant").where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")))
-    pairs = materialise(pairs.distinct(), "candidates")
-    told = pairs.join(nodes.select(F.col("node").alias("u"), F.col("bits").alias("x")).hint("merge"), "u").join(nodes.select(F.col("node").alias("v"), F.col("bits").alias("y")).hint("merge"), "v")
-    differ = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
-    labels = _labelled(nodes.select("node", "first"), told.where(differ <= most_bits(similarity)).select("u", "v"))
-    discard(shared, members, hubs, pairs)
-    return rows.join(labels.hint("merge"), "node").select("doc_id", "component_id")
+    few = members.where(F.col("n") <= crowd)
+    pairs = few.select("variant", F.col("node").alias("u"), F.col("size").alias("m")).join(few.select("variant", F.col("node").alias("v"), "size").hint("merge"), "variant")
+    found = _verified(pairs.where("u < v").where(_sizes_allow("m", "size", similarity)).select("u", "v").distinct(), rows, similarity)
+    if not (crowded := members.where(F.col("n") > crowd)).isEmpty():
+        found = _crowd_links(crowded, found, rows, similarity)
+    labels = _labelled(nodes.select("node", "first"), found)
+    out = materialise(rows.select("doc_id", "node").join(labels.hint("merge"), "node").select("doc_id", "component_id"), "similar")
+    discard(rows, nodes, shared, members, found)
+    return out
+
+
+def _crowd_links(crowded: DataFrame, found: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """``found`` and the links of crowded variants' members (variant, node, size, n), each round with more of them."""
+    weights = materialise(crowded.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    members = materialise(crowded.join(weights.hint("merge"), "node"), "crowded")
+    discard(weights)
+    order = Window.partitionBy("variant").orderBy(F.desc("weight"), "node")
+    done, hubs_to = 0, 1
+    while True:
+        roots = connected_components(found)
+        placed = members.join(roots.hint("merge"), "node", "left").select("variant", "node", "size", "n", "weight", F.coalesce("root", "node").alias("root"))
+        placed = materialise(placed, "placed")
+        several = placed.where(F.col("n") > done).groupBy("variant").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("variant")
+        several = materialise(several, "several")
+        if several.isEmpty():
+            discard(members, placed, several)
+            return found
+        discard(members)
+        members = materialise(placed.join(several.hint("merge"), "variant").drop("root"), "crowded")
+        left = placed.join(several.hint("merge"), "variant")
+        hubs = left.select("variant", "weight", F.col("node").alias("hub"), F.col("root").alias("its"), F.col("size").alias("m"), "node")
+        hubs = hubs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs_to).where(F.col("rank") > done)
+        hubs = materialise(hubs.select("variant", "hub", "its", "m"), "hubs")
+        pairs = left.select("variant", "node", "size", "root").join(hubs.hint("merge"), "variant").where("root <> its").where(_sizes_allow("m", "size", similarity))
+        links = _verified(pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), rows, similarity)
+        both = materialise(found.union(links), "alike")
+        discard(found, links, placed, several, hubs)
+        found, done, hubs_to = both, hubs_to, 8 * hubs_to
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
