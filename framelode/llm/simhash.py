@@ -36,7 +36,7 @@ BITS = 3
 DENSE = 64
 _BLOCK = 1 << 15
 #: Of :func:`similar`: words of a shingle, similarity, segments of a signature, values of each, and members of a variant up
-#: to which all are compared with each other (beyond, with its most central ones, as long as it holds several groups).
+#: to which all are compared with each other (beyond, with its most central one, then by rare shingles).
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 SEGMENTS = 8
@@ -215,8 +215,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     their sets of five-word shingles of ``similarity`` or more, found by variants and verified.
 
     In a variant of over ``crowd`` distinct texts all are compared with the most central one (that shares most variants with
-    others); where a variant still holds several groups, with the next seven, then 56, and so on, but for texts in one group
-    by then, until it holds one group or all were compared.
+    others). Texts of variants that then still hold several groups are joined by their rarest shingles instead: of two texts
+    alike by 0.8 the rarer fifths have a shingle in common, while texts that merely share a passage differ there.
 
     Nulls, texts without words, repeated rows, extra columns and empty tables are treated as by :func:`near_duplicates`.
     """
@@ -238,32 +238,41 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
 
 def _crowd_links(crowded: DataFrame, found: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """``found`` and the links of crowded variants' members (variant, node, size, n), each round with more of them."""
+    """``found`` and all links between members of crowded variants (variant, node, size, n), but for texts in one group."""
     weights = materialise(crowded.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     members = materialise(crowded.join(weights.hint("merge"), "node"), "crowded")
-    discard(weights)
-    order = Window.partitionBy("variant").orderBy(F.desc("weight"), "node")
-    done, hubs_to = 0, 1
-    while True:
-        roots = connected_components(found)
-        placed = members.join(roots.hint("merge"), "node", "left").select("variant", "node", "size", "n", "weight", F.coalesce("root", "node").alias("root"))
-        placed = materialise(placed, "placed")
-        several = placed.where(F.col("n") > done).groupBy("variant").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("variant")
-        several = materialise(several, "several")
-        if several.isEmpty():
-            discard(members, placed, several)
-            return found
-        discard(members)
-        members = materialise(placed.join(several.hint("merge"), "variant").drop("root"), "crowded")
-        left = placed.join(several.hint("merge"), "variant")
-        hubs = left.select("variant", "weight", F.col("node").alias("hub"), F.col("root").alias("its"), F.col("size").alias("m"), "node")
-        hubs = hubs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= hubs_to).where(F.col("rank") > done)
-        hubs = materialise(hubs.select("variant", "hub", "its", "m"), "hubs")
-        pairs = left.select("variant", "node", "size", "root").join(hubs.hint("merge"), "variant").where("root <> its").where(_sizes_allow("m", "size", similarity))
-        links = _verified(pairs.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), rows, similarity)
-        both = materialise(found.union(links), "alike")
-        discard(found, links, placed, several, hubs)
-        found, done, hubs_to = both, hubs_to, 8 * hubs_to
+    hubs = materialise(members.groupBy("variant").agg(F.max(F.struct("weight", "node", "size")).alias("hub")), "hubs")
+    pairs = members.join(hubs.hint("merge"), "variant").where("node <> hub.node").where(_sizes_allow("size", "hub.size", similarity))
+    links = _verified(pairs.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct(), rows, similarity)
+    star = materialise(found.union(links), "alike")
+    discard(found, links, weights, hubs)
+    roots = materialise(connected_components(star), "roots")
+    placed = materialise(members.join(roots.hint("merge"), "node", "left").select("variant", "node", "size", F.coalesce("root", "node").alias("root")), "placed")
+    several = materialise(placed.groupBy("variant").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("variant"), "several")
+    left = materialise(placed.join(several.hint("merge"), "variant").select("node", "size", "root").distinct(), "left")
+    rare = _rarest(left, rows, similarity)
+    # of the smaller text a shorter prefix will do, and what follows the first shingle in common must be enough
+    small = rare.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-9) + 1)
+    small = small.select("shingle", F.col("node").alias("u"), F.col("size").alias("m"), F.col("root").alias("r"), F.col("rank").alias("i"))
+    enough = 1 + F.least(F.col("m") - F.col("i"), F.col("size") - F.col("rank")) >= similarity / (1 + similarity) * (F.col("m") + F.col("size")) - 1e-9
+    ordered = F.struct("m", "u") < F.struct("size", "node")
+    pairs = small.hint("merge").join(rare.withColumnRenamed("shingle", "its"), (F.col("shingle") == F.col("its")) & ordered & (F.col("r") != F.col("root")) & _sizes_allow("m", "size", similarity) & enough)
+    links = _verified(pairs.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct(), rows, similarity)
+    out = materialise(star.union(links), "alike")
+    discard(members, star, roots, placed, several, left, rare, links)
+    return out
+
+
+def _rarest(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, node, size, root, rank) of ``nodes`` (node, size, root): the rarest shingles of each, one more than a text alike by
+    ``similarity`` may lack, where another node has the shingle as well."""
+    sets = rows.groupBy("node").agg(F.first("shingles").alias("shingles")).join(nodes.hint("merge"), "node")
+    each = materialise(sets.select("node", "size", "root", F.explode("shingles").alias("shingle")), "shingles")
+    counts = materialise(each.groupBy("shingle").agg(F.count("*").alias("n")), "counts")
+    ranked = each.join(counts.hint("merge"), "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", F.xxhash64("shingle"), "shingle")))
+    rare = materialise(ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).where("n > 1").select("shingle", "node", "size", "root", "rank"), "rare")
+    discard(each, counts)
+    return rare
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
