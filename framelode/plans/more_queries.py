@@ -148,9 +148,12 @@ def suppression_totals(spark, sf_dir):
 WITH {T}, g AS (SELECT track, t, CASE WHEN t - lag(t) OVER (PARTITION BY track ORDER BY t) < 21600 THEN 0 ELSE 1 END AS brk FROM tracks),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY track ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT track, min(t) AS start, max(t) AS last, count(*) AS n FROM s GROUP BY track, k""")
 def session_windows(spark, sf_dir):
-    t = src.tracks(spark, sf_dir).withColumn("ts", F.timestamp_seconds("t"))
-    g = t.groupBy("track", F.session_window("ts", "6 hours").alias("w")).agg(F.min("t").alias("start"), F.max("t").alias("last"), F.count("*").alias("n"))
-    return g.select("track", "start", "last", "n")
+    # not session_window(): it also joins events exactly six hours apart and leaves out those without a time
+    w = Window.partitionBy("track").orderBy(F.asc_nulls_last("t"))
+    t = src.tracks(spark, sf_dir).select("track", "t")
+    g = t.withColumn("brk", F.when(F.col("t") - F.lag("t").over(w) < 21600, 0).otherwise(1))
+    s = g.withColumn("k", F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return s.groupBy("track", "k").agg(F.min("t").alias("start"), F.max("t").alias("last"), F.count("*").alias("n")).drop("k")
 
 
 @query("grouping_sets", "SELECT c_mktsegment, n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY CUBE (c_mktsegment, n_name)")

@@ -31,3 +31,13 @@ def test_all_tracks_are_exported(spark):
 
     want = {str(r.track): r["count"] for r in adapters.tracks(spark, DIR).groupBy("track").count().collect()}
     assert {r.track_id: r.masks for r in catalog.QUERIES["legacy_export"](spark, DIR).collect()} == want
+
+
+def test_sessions_end_at_gaps_of_exactly_six_hours(spark, tmp_path):
+    seen = "(1, 1, '2024-01-01 00:00:00'), (2, 1, '2024-01-01 06:00:00'), (3, 1, '2024-01-01 11:59:59.5'), (4, 1, NULL), (5, 1, NULL), (6, NULL, '2024-01-01 00:00:00'), (7, 2, '2024-01-01 00:00:00'), (8, 2, '2024-01-01 00:00:00')"
+    duckdb.sql(f"COPY (SELECT CAST(i AS BIGINT) AS event_id, CAST(u AS BIGINT) AS user_id, CAST(t AS TIMESTAMP) AS ts, 'view' AS event_type, 1.0::DOUBLE AS value, '{{}}' AS props FROM (VALUES {seen}) v(i, u, t)) TO '{tmp_path}/events.parquet'")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = sorted(c.sql(f"SELECT track, start, last, n FROM ({catalog.ORACLES['session_windows']})").fetchall(), key=str)
+    got = catalog.QUERIES["session_windows"](spark, str(tmp_path)).select("track", "start", "last", "n")
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(want) == 6
