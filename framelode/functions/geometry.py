@@ -102,3 +102,39 @@ def canonical_ellipse(a: Column, b: Column, degrees: Column) -> list[Column]:
     """Radii with the larger first and the angle in [-90, 90)."""
     turned = F.when(b > a, degrees + 90).otherwise(degrees) + 90
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), (turned - 180 * F.floor(turned / 180) - 90).alias("theta")]
+
+
+#: Corners beyond this are left to Python, so that areas and pixel counts below are exact in double precision.
+PIXEL_LIMIT = float(1 << 22)
+
+
+def pixel_box(polygons: Column) -> Column:
+    """struct<x0,y0,x1,y1,whole> of array<array<array<double>>>: the pixels, both ends counted, of a mask that is one
+    rectangle along the axes once its corners are rounded (``whole``: they were whole already). A mask without rings has
+    x1 < x0. Null for any other."""
+    at = lambda i, k: F.get(F.get(F.get(polygons, 0), i), k)
+    p = [[F.rint(at(i, k)) for k in (0, 1)] for i in range(4)]
+    level = (p[0][1] == p[1][1]) & (p[1][0] == p[2][0]) & (p[2][1] == p[3][1]) & (p[3][0] == p[0][0])
+    upright = (p[0][0] == p[1][0]) & (p[1][1] == p[2][1]) & (p[2][0] == p[3][0]) & (p[3][1] == p[0][1])
+    bounded = (F.abs(p[0][0]) <= PIXEL_LIMIT) & (F.abs(p[0][1]) <= PIXEL_LIMIT) & (F.abs(p[2][0]) <= PIXEL_LIMIT) & (F.abs(p[2][1]) <= PIXEL_LIMIT)
+    ring, shaped = F.get(polygons, 0), (F.size(polygons) == 1) & (F.size(F.get(polygons, 0)) == 4)
+    for i in range(4):
+        shaped = shaped & (F.size(F.get(ring, i)) == 2)
+    whole = F.lit(True)
+    for i in range(4):
+        for k in (0, 1):
+            whole = whole & (at(i, k) == p[i][k])
+    ends = [F.least(p[0][0], p[2][0]), F.least(p[0][1], p[2][1]), F.greatest(p[0][0], p[2][0]), F.greatest(p[0][1], p[2][1]), whole]
+    none = [F.lit(v) for v in (PIXEL_LIMIT, PIXEL_LIMIT, -PIXEL_LIMIT, -PIXEL_LIMIT, True)]
+    made = lambda cols: F.struct(*[c.alias(n) for c, n in zip(cols, ("x0", "y0", "x1", "y1", "whole"), strict=True)])
+    return F.when(F.size(polygons) == 0, made(none)).when(shaped & bounded & (level | upright), made(ends))
+
+
+def box_pixels(b: Column) -> Column:
+    return F.when(b["x1"] < b["x0"], 0.0).otherwise((b["x1"] - b["x0"] + 1) * (b["y1"] - b["y0"] + 1))
+
+
+def common_box_pixels(a: Column, b: Column) -> Column:
+    w = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]) + 1
+    h = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]) + 1
+    return F.when((w > 0) & (h > 0), w * h).otherwise(0.0)

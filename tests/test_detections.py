@@ -139,3 +139,25 @@ def test_metadata_of_all_kinds():
 
     value = {"a": True, "b": False, "c": None, "d": {}, "e": [], "f": {"g": [1, 2.5, "x", None]}}
     assert list(entries(value)) == [("a", "1", "bool"), ("b", "0", "bool"), ("c", "", "null"), ("d", "", "empty_mapping"), ("e", "", "empty_sequence"), ("f.g.0", "1", "int"), ("f.g.1", "2.5", "float"), ("f.g.2", "x", "str"), ("f.g.3", "", "null")]
+
+
+MASKS = [
+    [[[0.4, 0.0], [9.6, 0.0], [9.6, 5.5], [0.4, 5.5]]], [[[3.0, 8.0], [3.0, 2.0], [7.0, 2.0], [7.0, 8.0]]], [[[5.0, 5.0], [5.0, 5.0], [5.0, 9.0], [5.0, 9.0]]], [[[7.0, 1.0], [2.0, 1.0], [2.0, 4.0], [7.0, 4.0]]],
+    [[[0.0, 0.0], [8.0, 3.0], [8.0, 9.0]]], [[[0.0, 0.0], [6.0, 0.0], [0.0, 6.0], [6.0, 6.0]]], [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0]], [[2.0, 2.0], [9.0, 2.0], [9.0, 9.0], [2.0, 9.0]]], [], None, [[[1.0, 1.0], [4.0, 4.0]]],
+]
+
+
+def test_rectangles_are_counted_without_painting(spark):
+    from pyspark.sql import functions as F
+
+    from framelode.functions import geometry
+
+    masks = spark.createDataFrame([(k, m) for k, m in enumerate(MASKS)], "k long, polygons array<array<array<double>>>")
+    assert {r.k for r in masks.where(geometry.pixel_box(F.col("polygons")).isNotNull()).collect()} == {0, 1, 2, 3, 7}
+    pairs = [(10 * i + j, i, j) for i in range(len(MASKS)) for j in range(len(MASKS))]
+    kind = "frame long, track long, polygons array<array<array<double>>>"
+    ref, pred = [(f, 0, MASKS[i]) for f, i, _ in pairs], [(f, 0, MASKS[j]) for f, _, j in pairs]
+    got = {(r.frame, r.track): (r.ra, r.pa, r.i) for r in evaluate.mask_areas(spark.createDataFrame([*ref, (200, 0, MASKS[0])], kind), spark.createDataFrame([*pred, (201, 0, MASKS[4])], kind)).collect()}
+    painted = [raster.crop_mask(m or [], union=True) for m in MASKS]
+    want = {(f, 0): (painted[i].pixels, painted[j].pixels, raster.common_pixels(painted[i], painted[j])) for f, i, j in pairs}
+    assert got == want | {(200, 0): (painted[0].pixels, 0, 0), (201, 0): (0, painted[4].pixels, 0)}
