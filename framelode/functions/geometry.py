@@ -108,10 +108,15 @@ def canonical_ellipse(a: Column, b: Column, degrees: Column) -> list[Column]:
 PIXEL_LIMIT = float(1 << 22)
 
 
-def pixel_box(polygons: Column) -> Column:
+def pixel_box(mask: Column) -> Column:
     """struct<x0,y0,x1,y1,whole> of array<array<array<double>>>: the pixels, both ends counted, of a mask that is one
     rectangle along the axes once its corners are rounded (``whole``: they were whole already). A mask without rings has
     x1 < x0. Null for any other."""
+    # as a lambda: its generated code would be a method too large to be compiled
+    return F.get(F.transform(F.array(mask), _pixel_box), 0)
+
+
+def _pixel_box(polygons: Column) -> Column:
     at = lambda i, k: F.get(F.get(F.get(polygons, 0), i), k)
     p = [[F.rint(at(i, k)) for k in (0, 1)] for i in range(4)]
     level = (p[0][1] == p[1][1]) & (p[1][0] == p[2][0]) & (p[2][1] == p[3][1]) & (p[3][0] == p[0][0])

@@ -47,7 +47,8 @@ def mask_nms(spark, sf_dir):
 
 @query("component_nms")
 def component_nms(spark, sf_dir):
-    return nms.component_nms(rectangles(src.boxes(spark, sf_dir)), ["frame"]).select("frame", "idx", "label", "hint_area")
+    masks = rectangles(src.boxes(spark, sf_dir)).select("frame", "idx", "score", "label", "polygons")
+    return nms.component_nms(masks, ["frame"]).select("frame", "idx", "label", "hint_area")
 
 
 @query("exact_mask_quality")

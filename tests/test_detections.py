@@ -161,3 +161,19 @@ def test_rectangles_are_counted_without_painting(spark):
     painted = [raster.crop_mask(m or [], union=True) for m in MASKS]
     want = {(f, 0): (painted[i].pixels, painted[j].pixels, raster.common_pixels(painted[i], painted[j])) for f, i, j in pairs}
     assert got == want | {(200, 0): (painted[0].pixels, 0, 0), (201, 0): (0, painted[4].pixels, 0)}
+
+
+def test_rectangles_are_suppressed_by_components_as_painted_masks_are(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for frame in range(60):
+        for idx in range(rng.integers(1, 9 if frame < 50 else 50)):
+            x, y, w, h = (int(v) for v in rng.integers((0, 0, 0, 0), (60, 60, 70, 70)))
+            ring = [[float(a), float(b)] for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+            score = (None, float("nan"), 0.5, 0.5, float(rng.random()))[rng.integers(5)]
+            rows.append((None if frame == 3 else frame, idx, score, [] if rng.random() < 0.05 else [ring[::-1] if rng.random() < 0.3 else ring]))
+    rows += [(70, 0, 0.9, [[[0.0, 0.0], [9.5, 0.0], [9.5, 9.0], [0.0, 9.0]]]), (70, 1, 0.8, [[[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0]]])]
+    df = spark.createDataFrame(rows, "frame long, idx long, score double, polygons array<array<array<double>>>")
+    answers = lambda limit: (monkeypatch.setattr(nms, "FOLDED", limit), sorted(map(repr, nms.component_nms(df, ["frame"]).collect())))[1]
+    folded, painted = answers(32), answers(0)
+    assert folded == painted and 60 < len(folded) < len(rows)
