@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialise
 
 _LINK = "u long, v long"
+#: Links, thinned, up to which one task finishes: rounds of joins cost more than so many rows.
+FEW_LINKS = 200_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,16 +45,22 @@ def _signature(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first())
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """``links`` (u long, v long), any direction, repeats and self-links allowed -> (node long, root long).
 
     ``root`` is the smallest node reachable from ``node``. Nodes without a link to another node are left out;
-    rows with a null end are ignored; an empty input gives an empty result.
+    rows with a null end are ignored; an empty input gives an empty result. Up to ``few`` links that are left by the
+    union-find in each partition go through one more in a single task, more through rounds of joins.
     """
     links = links.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e = materialise(links.mapInArrow(_forest, _LINK).distinct(), "links")
     seen = _signature(e)
-    while seen[0]:
+    if 0 < seen[0] <= few:
+        whole = materialise(e.coalesce(1).mapInArrow(_forest, _LINK), "whole")
+        discard(e)
+        e = whole
+    rounds = seen[0] > few
+    while rounds:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minimums are written before they are joined, so that Spark can split the links of a hub
         low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
@@ -64,9 +72,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         now = _signature(small)
         discard(e, large, low, least)
         e, done = small, now == seen
-        seen = now
-        if done:
-            break
+        seen, rounds = now, not done
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

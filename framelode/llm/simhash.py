@@ -32,8 +32,10 @@ from .components import connected_components
 SEED = 42
 WORDS = 3
 BITS = 3
-#: Distinct fingerprints in one variant up to which all its pairs are compared.
-DENSE = 64
+#: Distinct fingerprints in one variant up to which all its pairs are compared, and up to which all its links are given
+#: rather than a forest of them.
+DENSE = 1024
+SMALL = 64
 _BLOCK = 1 << 15
 #: Of :func:`similar`: words of a shingle, similarity, segments of a signature, values of each, and members of a variant up
 #: to which all are compared with each other (beyond, with its most central one, then by rare shingles).
@@ -72,11 +74,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return keyed(docs, id_col, text_col).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
+def _forest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer links than members with the components of all pairs within ``BITS``: each member is compared with all that
+    aren't reached yet."""
+    us, vs, left = [], [], x
+    while len(left):
+        ahead, left = [left[0]], left[1:]
+        while ahead and len(left):
+            v = ahead.pop()
+            near = np.bitwise_count(left ^ v) <= BITS
+            if near.any():
+                us.append(np.full(np.count_nonzero(near), v))
+                vs.append(left[near])
+                ahead.extend(left[near])
+                left = left[~near]
+    return (np.concatenate(us), np.concatenate(vs)) if us else (x[:0], x[:0])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         us, vs = [], []
         for group in b.column(0).to_pylist():
             x = np.array(group, np.int64)
+            if len(x) > SMALL:
+                u, v = _forest(x)
+                us.append(u)
+                vs.append(v)
+                continue
             i, j = np.triu_indices(len(x), 1)
             near = np.bitwise_count(x[i] ^ x[j]) <= BITS
             us.append(x[i[near]])

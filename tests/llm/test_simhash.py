@@ -156,3 +156,31 @@ def test_long_text_blocks():
     assert len(text) > 4 << 20
     assert np.array(simhash.simhash(text.encode())).astype(np.int64).view(np.uint64) == slow(text)
     assert np.array(simhash.simhash(b"one two three four")).astype(np.int64).view(np.uint64) == slow("one two three four")
+
+
+def test_crowds_give_a_forest_with_the_components_of_all_pairs():
+    rng = np.random.default_rng(9)
+    x = np.unique(np.concatenate([c ^ np.left_shift(np.int64(1), rng.integers(0, 60, 150)) ^ np.left_shift(np.int64(1), rng.integers(0, 60, 150)) for c in rng.integers(0, 1 << 62, 4)]))
+    u, v = simhash._forest(x)
+    roots = {n: n for n in x.tolist()}
+
+    def root(n):
+        while roots[n] != n:
+            n = roots[n]
+        return n
+
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        assert (a ^ b).bit_count() <= 3 and root(a) != root(b)
+        roots[max(root(a), root(b))] = min(root(a), root(b))
+    i, j = np.triu_indices(len(x), 1)
+    near = np.bitwise_count(x[i] ^ x[j]) <= 3
+    assert all(root(a) == root(b) for a, b in zip(x[i[near]].tolist(), x[j[near]].tolist(), strict=True))
+    assert len(u) < len(x) < near.sum()
+
+
+def test_few_links_and_rounds_give_the_same_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(a), int(b)) for a, b in rng.integers(-500, 500, (600, 2))] + [(10_000 + k, 10_001 + k) for k in range(60)]
+    df = spark.createDataFrame(rows, "u long, v long").repartition(7)
+    one, rounds = (sorted(map(tuple, components.connected_components(df, few).collect())) for few in (10_000, 0))
+    assert one == rounds and one[-1] == (10_060, 10_000)
