@@ -108,11 +108,13 @@ def canonical_ellipse(a: Column, b: Column, degrees: Column) -> list[Column]:
 PIXEL_LIMIT = float(1 << 22)
 
 
-def pixel_box(mask: Column) -> Column:
+def pixel_box(mask: Column, inline: bool = False) -> Column:
     """struct<x0,y0,x1,y1,whole> of array<array<array<double>>>: the pixels, both ends counted, of a mask that is one
     rectangle along the axes once its corners are rounded (``whole``: they were whole already). A mask without rings has
     x1 < x0. Null for any other."""
-    # as a lambda: its generated code would be a method too large to be compiled
+    # as a lambda, as its generated code can be a method too large to be compiled; inline where that is measured to be faster
+    if inline:
+        return _pixel_box(mask)
     return F.get(F.transform(F.array(mask), _pixel_box), 0)
 
 

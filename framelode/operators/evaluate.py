@@ -26,7 +26,7 @@ def mask_areas(ref: DataFrame, pred: DataFrame) -> DataFrame:
 
     def side(df: DataFrame, name: str) -> DataFrame:
         df = df.select("frame", "track", F.coalesce("polygons", F.array().cast("array<array<array<double>>>")).alias("polygons"))
-        box = geometry.pixel_box(F.col("polygons"))
+        box = geometry.pixel_box(F.col("polygons"), inline=True)
         # what is painted travels as polygons, all else as its box
         return df.select("frame", "track", F.struct(box.alias("box"), F.when(box.isNull(), F.col("polygons")).alias("polygons")).alias(name))
 
