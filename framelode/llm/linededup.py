@@ -104,7 +104,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(d1, d2, witness place): lines with an earlier line within one edit, and the earliest of those."""
+    """(d1, d2, witness place): lines with an earlier line within one edit, and the earliest of those; a written table."""
     keys = lines.where("halves IS NOT NULL").select("d1", F.explode("halves").alias("half"))
     # aggregates are written before they are joined to the rows they are of, so that Spark can split a hot key
     shared = materialise(keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "shared-halves")
@@ -143,7 +143,9 @@ def _near(lines: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = same.select(cols).union(as_whole.select(cols)).union(as_less.select(cols)).where("low.first < first")
     pairs = pairs.groupBy("d1", "d2").agg(F.min("low").alias("low")).select("d1", "d2", F.col("low.d1").alias("w1"), F.col("low.d2").alias("w2"), F.col("low.first").alias("witness"))
     checked = pairs.join(told, ["d1", "d2"]).join(told.select(F.col("d1").alias("w1"), F.col("d2").alias("w2"), F.col("text").alias("its")), ["w1", "w2"])
-    return checked.select("d1", "d2", "text", "its", "witness").mapInArrow(_verified, f"d1 long, d2 long, witness {_PLACE}")
+    near = materialise(checked.select("d1", "d2", "text", "its", "witness").mapInArrow(_verified, f"d1 long, d2 long, witness {_PLACE}"), "near")
+    discard(chosen, told, v, low)
+    return near
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -153,18 +155,25 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earliest neighbour. ``h`` is xxhash64 of the text and tells rows of one id apart; rows that repeat both are one
     document. Rows without an id rank before all others. Null and blank texts have no lines to remove.
     """
+    return _repeated(docs, id_col, text_col, min_words)[0]
+
+
+def _repeated(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of :func:`repeated_lines` and the written tables that it reads."""
     docs = keyed(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("h"), "text")
     found = materialise(docs.select("doc_id", "h", "text").mapInArrow(_lines(min_words), "doc_id long, h long, line int, d1 long, d2 long, halves array<bigint>"), "all-lines")
     place = F.struct("doc_id", "h", "line")
     lines = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(F.xxhash64(place)).alias("x"), F.min(F.xxhash64(place)).alias("y"), F.first("halves").alias("halves"))
     lines = materialise(lines.select("d1", "d2", "first", (F.col("x") != F.col("y")).alias("many"), "halves"), "lines")
-    near = materialise(_near(lines, docs), "near")
+    near = _near(lines, docs)
     marks = materialise(lines.where("many").select("d1", "d2", "first").join(near, ["d1", "d2"], "full"), "marks")
+    discard(lines, near)
     again = found.select("d1", "d2", place.alias("place")).join(marks, ["d1", "d2"])
     again = again.where("first IS NULL OR witness IS NOT NULL OR NOT (place <=> first)")
     is_near = F.col("first").isNull() | F.col("place").eqNullSafe(F.col("first"))
     to = F.when(is_near, F.col("witness")).otherwise(F.col("first"))
-    return again.select("place.doc_id", "place.h", "place.line", to["doc_id"].alias("first_doc_id"), to["line"].alias("first_line"), is_near.alias("near"))
+    again = again.select("place.doc_id", "place.h", "place.line", to["doc_id"].alias("first_doc_id"), to["line"].alias("first_line"), is_near.alias("near"))
+    return again, [found, marks]
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -186,7 +195,9 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "gone")), pa.array(out, pa.string())], names=["row", "gone", "its_text"])
 
     small_batches(docs.sparkSession)
-    gone = materialise(repeated_lines(docs, id_col, text_col, min_words).groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone")), "gone")
+    again, read = _repeated(docs, id_col, text_col, min_words)
+    gone = materialise(again.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone")), "gone")
+    discard(*read)
     gone = gone.select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), "gone")
     rest = [c for c in docs.columns if c != text_col]
     t = docs.select(F.struct(F.lit(True).alias("_"), *rest).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("its_text")).withColumn("h", F.xxhash64("its_text"))

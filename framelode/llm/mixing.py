@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import discard, materialise, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -120,10 +120,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # odds / (1 + odds) orders as the odds do, and has digits
     t = t.withColumn("rank", F.floor(F.col("odds") / (1 + F.col("odds")) * float(1 << 48)))
     t = t.withColumn("d1", F.expr("CAST(least(shiftright(rank, 36), 4095) AS INT)")).withColumn("d2", F.expr("CAST(shiftright(rank, 24) & 4095 AS INT)")).withColumn("base", F.lit(0).cast("long"))
-    b1 = _boundary(t.where("p > 0"), "d1")
+    # written, as are the boundaries: as one plan, the joins to this point would be planned again for each of its uses, in the driver
+    t = materialise(t.drop("rate", "certain", "odds"), "ranked")
+    discard(sizes)
+    b1 = materialise(_boundary(t.where("p > 0"), "d1"), "first-digits")
     t = t.join(small(b1), "sid", "left")
     inside = t.where("p > 0 AND d1 = d1_at").withColumn("base", F.col("d1_base"))
-    b2 = _boundary(inside, "d2")
+    b2 = materialise(_boundary(inside, "d2"), "second-digits")
     t = t.join(small(b2), "sid", "left")
     clear = t.where("NOT (p > 0 AND d1 <=> d1_at AND d2 <=> d2_at)").withColumn("extra", F.expr("p > 0 AND (d1_at IS NULL OR d1 < d1_at OR (d1 = d1_at AND (d2_at IS NULL OR d2 < d2_at)))"))
     order = Window.partitionBy("sid").orderBy("rank", "bits", "doc_id", "rid")
@@ -140,7 +143,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """
     copies = mix(docs, id_col, text_col, source_col, weights, most)
     copies = copies.groupBy("doc_id", "bits", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    copies = copies.select(F.col("doc_id").alias("k"), F.col("bits").alias("b"), F.col("source").alias("s"), "copies", "rows")
+    copies = materialise(copies, "copies").select(F.col("doc_id").alias("k"), F.col("bits").alias("b"), F.col("source").alias("s"), "copies", "rows")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _bits(F.col(id_col).cast("long"), text).alias("bits"), F.col(source_col).cast("string").alias("source"), F.struct("*").alias("row"))
     rows = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("bits") == F.col("b")) & F.col("source").eqNullSafe(F.col("s")))
