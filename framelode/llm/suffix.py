@@ -335,33 +335,77 @@ def _runs(mask: np.ndarray) -> list[dict]:
 _RUNS = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32())]))
 
 
-def _shards(length: int):
-    """Rows (ah, ch, context) sorted by ah -> (ah, ch, runs of repeated windows); an array per SHARD bytes of whole anchors."""
+def shared_sides(rows: list[tuple[int, int, bytes]], length: int, gram: int) -> list[tuple[int, int, bytes]]:
+    """The rows (ah, ch, context) that may share a window with another row of their anchor; no others do.
+
+    A window has more than half of what it holds besides the anchor on one side of it at least. So contexts that share one
+    agree in the anchor and half of the rest before it, or in the anchor and half of the rest (and a byte) after it.
+    """
+    text = b"".join(r[2] for r in rows)
+    lens = np.array([len(r[2]) for r in rows])
+    begins = np.cumsum(lens) - lens
+    # the anchor is the first gram with its hash; a hash from across a border can't come before it
+    own = np.repeat(np.arange(len(rows)), lens)[: len(text) - gram + 1]
+    hits = np.flatnonzero(_gram_hashes(text, gram).view(np.int64) == np.array([r[0] for r in rows])[own])
+    found, first = np.unique(own[hits], return_index=True)
+    assert len(found) == len(rows)
+    before = (length - gram) // 2
+    after = length - gram - before + 1
+    digest = xxhash.xxh3_64_intdigest
+    keys: list[tuple] = []
+    seen: dict[tuple, int] = {}
+    for (ah, _, t), at in zip(rows, (hits[first] - begins).tolist(), strict=True):
+        left = (ah, 0, digest(t[at - before : at + gram])) if at >= before else None
+        right = (ah, 1, digest(t[at : at + gram + after])) if at + gram + after <= len(t) else None
+        keys.append((left, right))
+        for k in (left, right):
+            if k:
+                seen[k] = seen.get(k, 0) + 1
+    return [r for r, pair in zip(rows, keys, strict=True) if any(k and seen[k] > 1 for k in pair)]
+
+
+def _shards(length: int, gram: int | None = None):
+    """Rows (ah, ch, context) sorted by ah -> (ah, ch, runs of repeated windows); an array per SHARD bytes of whole anchors.
+
+    With ``gram``, ah is the hash of an anchor of that length, and contexts that can't share a window stay out of the array.
+    """
+
+    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        text = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+        ends = np.cumsum([len(r[2]) for r in rows])
+        starts = np.zeros(len(text), bool)
+        for e, r in zip(ends, rows, strict=True):
+            starts[e - len(r[2]) : e - length + 1] = True
+        hit = repeated_windows(text, starts, length)
+        runs = [_runs(hit[e - len(r[2]) : e]) for e, r in zip(ends, rows, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(runs, _RUNS)], names=["ah", "ch", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh: list[tuple[int, int, bytes]] = []
         rows: list[tuple[int, int, bytes]] = []
-        held, last = 0, None
-
-        def solve() -> pa.RecordBatch:
-            text = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-            ends = np.cumsum([len(r[2]) for r in rows])
-            starts = np.zeros(len(text), bool)
-            for e, r in zip(ends, rows, strict=True):
-                starts[e - len(r[2]) : e - length + 1] = True
-            hit = repeated_windows(text, starts, length)
-            runs = [_runs(hit[e - len(r[2]) : e]) for e, r in zip(ends, rows, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(runs, _RUNS)], names=["ah", "ch", "runs"])
+        arrived = held = 0
+        last = None
+
+        def sift() -> int:
+            some = shared_sides(fresh, length, gram) if gram else fresh
+            rows.extend(some)
+            return sum(len(r[2]) for r in some)
 
         for b in batches:
             for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if held >= SHARD and r[0] != last:
-                    yield solve()
-                    rows, held = [], 0
-                rows.append(r)
-                held += len(r[2])
+                if arrived >= SHARD and r[0] != last:
+                    held += sift()
+                    fresh, arrived = [], 0
+                    if held >= SHARD:
+                        yield solve(rows)
+                        rows, held = [], 0
+                fresh.append(r)
+                arrived += len(r[2])
                 last = r[0]
+        if fresh:
+            sift()
         if rows:
-            yield solve()
+            yield solve(rows)
 
     return run
 
@@ -434,7 +478,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     text = materialise(text.dropDuplicates(["ah", "ch"]), "context-text")
     dense = materialise(kinds.groupBy("ah").agg(F.count("*").alias("m")).where(F.col("m") > DENSE).select("ah"), "dense")
     thin = text.join(dense, "ah", "left_anti").repartition("ah").sortWithinPartitions("ah")
-    runs = thin.mapInArrow(_shards(length), _RUN).select("ah", "ch", F.explode("runs").alias("r")).select("ah", "ch", "r.f", "r.t")
+    runs = thin.mapInArrow(_shards(length, gram), _RUN).select("ah", "ch", F.explode("runs").alias("r")).select("ah", "ch", "r.f", "r.t")
     if not dense.isEmpty():
         runs = runs.union(_subdivided(text.join(dense, "ah", "left_semi"), length, gram))
     runs = runs.union(kinds.where("n > 1").select("ah", "ch", F.lit(0).alias("f"), (F.col("at.hi") - F.col("at.lo")).cast("int").alias("t")))

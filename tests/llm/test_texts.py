@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -119,6 +120,37 @@ def test_long_text_is_cut_in_pieces(spark):
     assert got == {1: [(0, 500), (cut - 500, cut + 400)], 2: [(107, 507)]}
 
 
+def test_contexts_that_share_no_window_stay_out_of_the_array(spark, monkeypatch):
+    """Strings of 200 bytes in two texts are found wherever their anchor stands; contexts with only 115 in common don't go into the array."""
+    rng = np.random.default_rng(6)
+    some = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    arrays = []
+    real = suffix.repeated_windows
+    monkeypatch.setattr(suffix, "repeated_windows", lambda text, starts, length: arrays.append(len(text)) or real(text, starts, length))
+
+    def runs(shared):
+        a, b = some(299) + b"A" + shared + b"B" + some(299), some(309) + b"C" + shared + b"D" + some(289)
+        own, lo, hi, ah, ch = suffix.contexts([a, b])
+        places = defaultdict(list)
+        for o, x, y, k, c in zip(*(v.tolist() for v in (own, lo, hi, ah, ch)), strict=True):
+            if (ah == k).sum() > 1:
+                places[k, c].append((o, x, y))
+        kinds = sorted((k, c, [a, b][w[0][0]][w[0][1] : w[0][2] + 200]) for (k, c), w in places.items())
+        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in kinds], pa.int64()), pa.array([r[1] for r in kinds], pa.int64()), pa.array([r[2] for r in kinds], pa.binary())], names=["ah", "ch", "context"])
+        out = [r for part in suffix._shards(200, 32)(iter([batch])) for r in part.to_pylist()]
+        found = {(o, x + w) for r in out for o, x, _ in places[r["ah"], r["ch"]] for y in r["runs"] for w in range(y["f"], y["t"] + 1)}
+        # contexts that come twice as a whole are counted, not searched
+        return sorted(found | {(o, w) for copies in places.values() if len(copies) > 1 for o, x, y in copies for w in range(x, y + 1)})
+
+    for _ in range(40):
+        n = int(rng.integers(200, 206))
+        assert runs(some(n)) == [(0, 300 + i) for i in range(n - 199)] + [(1, 310 + i) for i in range(n - 199)]
+    arrays.clear()
+    for _ in range(40):
+        assert runs(some(115)) == []
+    assert not arrays
+
+
 def shingles(text):
     words = (text or "").lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
